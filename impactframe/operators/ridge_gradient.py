@@ -1,0 +1,133 @@
+"""Ridge fit for seasons too wide for one matrix.
+
+A penalty on a coefficient is the same as one more observation of it: a row with
+the square root of the penalty in that column and target zero. With those rows
+added, plain least squares gives the ridge coefficients, and least squares by
+L-BFGS needs only passes over the rows and one vector of coefficients.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from impactframe.operators import ridge
+from impactframe.operators.ranking import positions
+from impactframe.session import materialize
+
+
+def _column_index(obs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Consecutive numbers 0.. per season for the columns in use."""
+    teams = obs.select("season_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).distinct()
+    team_codes = F.array(*[ridge.column_code(k, F.col("team_id")) for k in ("team", "opponent")])
+    fixed = F.array(ridge.column_code("intercept"), ridge.column_code("home_court"))
+    codes = (
+        weights.select("season_id", ridge.column_code("player", F.col("player_id")).alias("code"))
+        .unionByName(teams.select("season_id", F.explode(team_codes).alias("code")))
+        .unionByName(obs.select("season_id").distinct().select("season_id", F.explode(fixed).alias("code")))
+        .distinct()
+    )
+    numbered = positions(codes, ["season_id"], [F.asc("code")], "position")
+    return numbered.select("season_id", "code", (F.col("position") - 1).cast("int").alias("column"))
+
+
+def _entries(obs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Non-zero entries of the mirrored rows: season_id, game_id, mirror, code, x, label."""
+
+    def entry(kind: str, entity: Column | None, x: float) -> Column:
+        return F.struct(ridge.column_code(kind, entity).alias("code"), F.lit(x).alias("x"))
+
+    home, away = F.col("home_team_id"), F.col("away_team_id")
+    heads = {
+        1.0: [entry("intercept", None, 1.0), entry("home_court", None, 1.0), entry("team", home, 1.0), entry("opponent", away, 1.0)],
+        -1.0: [entry("intercept", None, 1.0), entry("home_court", None, -1.0), entry("team", away, 1.0), entry("opponent", home, 1.0)],
+    }
+    parts = [
+        obs.select("season_id", "game_id", F.lit(sign).alias("mirror"), F.inline(F.array(*columns)))
+        for sign, columns in heads.items()
+    ]
+    parts += [
+        weights.select(
+            "season_id",
+            "game_id",
+            F.lit(sign).alias("mirror"),
+            ridge.column_code("player", F.col("player_id")).alias("code"),
+            (F.lit(sign) * F.col("weight")).alias("x"),
+        )
+        for sign in (1.0, -1.0)
+    ]
+    entries = parts[0]
+    for part in parts[1:]:
+        entries = entries.unionByName(part)
+    return entries
+
+
+def solve_by_gradient(
+    obs: DataFrame, weights: DataFrame, penalty: DataFrame, settings: list[ridge.Setting]
+) -> DataFrame:
+    """Coefficients per season, setting and column, without a matrix. One fit per season and setting."""
+    columns = materialize(_column_index(obs, weights))
+    widths = {row["season_id"]: row["n"] for row in columns.groupBy("season_id").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(
+        _entries(obs, weights)
+        .join(columns, ["season_id", "code"])
+        .groupBy("season_id", "game_id", "mirror")
+        .agg(F.array_sort(F.collect_list(F.struct("column", "x"))).alias("entries"))
+        .join(obs.select("season_id", "game_id", "margin"), ["season_id", "game_id"])
+        .select("season_id", (F.col("mirror") * F.col("margin")).alias("label"), "entries")
+    )
+    alphas = F.create_map(*[F.lit(v) for i, s in enumerate(settings) for v in (i, s.alpha)])
+    options = F.array(*[F.lit(i) for i in range(len(settings))])
+    every = columns.select("season_id", "code", "column", F.explode(options).alias("setting_id"))
+    fallback = F.when(F.col("code") % 8 > ridge.KINDS["home_court"], F.element_at(alphas, F.col("setting_id")))
+    pseudo = (
+        every.join(penalty, ["season_id", "setting_id", "code"], "left")
+        .withColumn("penalty", F.coalesce("penalty", fallback, F.lit(0.0)))
+        .filter(F.col("penalty") > 0)
+        .select(
+            "season_id",
+            "setting_id",
+            F.lit(0.0).alias("label"),
+            F.array(F.struct("column", F.sqrt("penalty").alias("x"))).alias("entries"),
+        )
+    )
+    pseudo = materialize(pseudo)
+    seasons = [r["season_id"] for r in penalty.select("season_id").distinct().collect()]
+    model = LinearRegression(
+        fitIntercept=False, regParam=0.0, standardization=False, solver="l-bfgs", maxIter=1000, tol=1e-12
+    )
+    results = None
+    for season in sorted(seasons):
+        for setting in range(len(settings)):
+            data = (
+                rows.filter(F.col("season_id") == season)
+                .select("label", "entries")
+                .unionByName(
+                    pseudo.filter((F.col("season_id") == season) & (F.col("setting_id") == setting)).select(
+                        "label", "entries"
+                    )
+                )
+            )
+            fitted = model.fit(_sparse(data, widths[season]))
+            values = data.sparkSession.createDataFrame(
+                enumerate(fitted.coefficients.toArray().tolist()), "column int, coefficient double"
+            )
+            part = (
+                columns.filter(F.col("season_id") == season)
+                .join(values, "column")
+                .select("season_id", F.lit(setting).alias("setting_id"), "code", "coefficient")
+            )
+            results = part if results is None else results.unionByName(part)
+    return results
+
+
+def _sparse(data: DataFrame, width: int) -> DataFrame:
+    """Sparse vector column out of sorted (column, x) entries."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def vector(entries):
+        return SparseVector(width, [e["column"] for e in entries], [e["x"] for e in entries])
+
+    return data.select("label", vector("entries").alias("features"))

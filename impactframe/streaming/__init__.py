@@ -1,0 +1,5 @@
+"""Nothing here yet: every operator of this engine is a batch operator.
+
+The request log (``sources.store``) is append-only, so a reader that wants it
+continuously can point ``spark.readStream`` at the same folder.
+"""
