@@ -52,7 +52,7 @@ def _games_by_order(spark: SparkSession, folder: str) -> DataFrame:
             F.col(f"{mine}_team_id").alias("team_id"),
             F.col(f"{other}_team_id").alias("opponent_team_id"),
             F.lit(home).alias("is_home"),
-            (F.col("margin") if home else -F.col("margin")).alias("margin"),
+            (F.col("margin") if home else F.lit(0.0) - F.col("margin")).alias("margin"),
         )
 
     return pairs.select(
