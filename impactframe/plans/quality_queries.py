@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe.functions.text import message_signature
@@ -16,6 +16,11 @@ from impactframe.sources.sample_tables import loads_view, read_table
 LAST_YEAR = 2002
 
 
+def short_name(letter: str) -> Column:
+    """Three-letter abbreviation of a nation: a letter and its number."""
+    return F.concat(F.lit(letter), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+
+
 def nation_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Nations as teams; every third was renamed in 1997, and some start late or end early."""
     key = F.col("n_nationkey")
@@ -32,11 +37,10 @@ def nation_spans(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(nickname).alias("nickname"),
             first.cast("int").alias("season_start"),
             last.cast("int").alias("season_end"),
-            F.upper(F.substring("n_name", 1, 3)).alias("lookup_abbreviation"),
+            short_name("N").alias("lookup_abbreviation"),
         )
 
-    short = F.upper(F.substring("n_name", 1, 3))
-    old_short = F.concat(F.lit("X"), F.upper(F.substring("n_name", 1, 2)))
+    short, old_short = short_name("N"), short_name("X")
     # A team that was not renamed has one span; the empty slot is dropped again.
     spans = F.array_compact(
         F.array(
@@ -195,10 +199,10 @@ QUERIES = {
 # The team dimension as SQL; also used by the team queries.
 DIMENSION = """
 spans AS (
-  SELECT CAST(n_nationkey + 1 AS BIGINT) AS team_id, 'X' || upper(substr(n_name, 1, 2)) AS abbreviation, n_name,
+  SELECT CAST(n_nationkey + 1 AS BIGINT) AS team_id, 'X' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS abbreviation, n_name,
     'Old' AS nickname, 1990 + n_nationkey % 6 AS first, 1996 AS last FROM nation WHERE n_nationkey % 3 = 0
   UNION ALL
-  SELECT CAST(n_nationkey + 1 AS BIGINT), upper(substr(n_name, 1, 3)), n_name, 'New',
+  SELECT CAST(n_nationkey + 1 AS BIGINT), 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0'), n_name, 'New',
     CASE WHEN n_nationkey % 3 = 0 THEN 1997 ELSE 1990 + n_nationkey % 6 END,
     CASE WHEN n_nationkey % 8 = 7 THEN 1999 END FROM nation),
 dimension AS (
