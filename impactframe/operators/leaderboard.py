@@ -197,13 +197,14 @@ def _export_text(name: str, kind: str) -> Column:
 def _six_digits(value: Column) -> Column:
     """Six significant digits without trailing zeros, in e-notation outside 1e-4 .. 1e6."""
     scientific = F.format_string("%.5e", value)
-    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).cast("int")
+    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(scientific, r"^(.*)e", 1), r"\.?0+$", "")
     # Rounding to the shortest decimal that has six digits keeps the fixed form exact.
-    fixed = scientific.cast("decimal(38,18)").cast("string")
+    fixed = scientific.try_cast("decimal(38,18)").cast("string")
     fixed = F.regexp_replace(fixed, r"\.?0+$", "")
     return (
-        F.when(value == 0, F.lit("0"))
+        F.when(value.isNull(), F.lit(None))
+        .when(value == 0, F.lit("0"))
         .when((exponent < -4) | (exponent >= 6), F.concat(mantissa, F.lit("e"), F.regexp_extract(scientific, r"e(.*)$", 1)))
         .otherwise(fixed)
     )
@@ -218,4 +219,4 @@ def export_columns(board: DataFrame, metric: str) -> DataFrame:
 
 
 def export_csv(board: DataFrame, metric: str, path: str) -> None:
-    export_columns(board, metric).write.mode("overwrite").csv(path, header=True)
+    export_columns(board, metric).write.mode("overwrite").csv(path, header=True, escape='"')
