@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from impactframe.functions.scores import weighted_average
 from impactframe.functions.seasons import type_code
 from impactframe.operators.ranking import positions, top_rows
+from impactframe.session import keep
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def board_rows(rows: DataFrame, metric: str) -> DataFrame:
     board = BOARDS[metric]
     value, games = F.col(board.value), F.col(board.games)
     # Read by the span and by the board itself.
-    rows = rows.persist()
+    rows = keep(rows)
     span = span_seasons(rows)
     extra: list[Column] = []
     if board.margins:

@@ -13,6 +13,7 @@ from impactframe.functions.seasons import canonical_season_id, start_year, type_
 from impactframe.functions.text import is_blank, message_signature
 from impactframe.operators.teams import current_labels
 from impactframe.schemas import GAME, SCOPE, SIDE
+from impactframe.session import keep
 
 MIN_APPEARED = 5
 MAX_ROWS = 25
@@ -486,8 +487,8 @@ def audit(
 ) -> DataFrame:
     """All checks of the game tables."""
     # Every check below reads one of these two.
-    checked_games = check_games(games, dimension).persist()
-    checked_players = check_players(players, dimension).persist()
+    checked_games = keep(check_games(games, dimension))
+    checked_players = keep(check_players(players, dimension))
     readable_games = checked_games.filter("readable")
     readable_players = checked_players.filter("readable")
     findings = (

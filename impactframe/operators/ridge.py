@@ -25,6 +25,7 @@ from impactframe.functions.scores import PENALTY_MODES, player_penalty
 from impactframe.functions.seasons import season_id
 from impactframe.operators.with_without import game_number, minute_filter, positive_minutes
 from impactframe.schemas import GAME, SEASON, SIDE
+from impactframe.session import keep
 
 LINEUP_WEIGHT = 5.0
 # A matrix of this many columns takes 72 MB in the task that solves it.
@@ -410,7 +411,7 @@ def fit(
 ) -> DataFrame:
     """Coefficients of every column, season and setting: season_id, setting_id, kind, entity_id, coefficient."""
     # Both are read by the width check, the products and the penalties.
-    obs, weights = obs.persist(), weights.persist()
+    obs, weights = keep(obs), keep(weights)
     exposure = eligible(player_exposure(weights), min_games)
     kept = weights.join(exposure.select("season_id", "player_id"), ["season_id", "player_id"], "left_semi")
     if widest_season(obs, exposure) <= max_matrix_columns:

@@ -11,6 +11,7 @@ from impactframe.operators import with_without as M
 from impactframe.operators.ranking import average_ranks
 from impactframe.plans.margin_queries import MINUTES, rounded, tables
 from impactframe.plans.reference_sql import WEIGHTS, WITH_WITHOUT, over
+from impactframe.session import keep
 
 TRAIN = ["1995-96", "1996-97", "1997-98"]
 HOLDOUT = "1998-99"
@@ -67,7 +68,7 @@ def ridge_coefficients(spark, folder):
 def ridge_residual(spark, folder):
     """How far the coefficients are from solving (gram + penalty) x = target; zero up to rounding."""
     obs, weights = _parts(spark, folder)
-    weights = weights.persist()
+    weights = keep(weights)
     setting = R.Setting(10.0, "minutes", 0.5, 240.0)
     solved = R.fit(obs, weights, [setting])
     kinds = F.create_map(*[F.lit(v) for kind, code in R.KINDS.items() for v in (kind, code)])
@@ -146,7 +147,7 @@ def rank_average(spark, folder):
 
 def _season_pairs(spark, folder):
     """Each player's training mean against the held-out value."""
-    rows = _scores(spark, folder).persist()
+    rows = keep(_scores(spark, folder))
     train = T.training_scores(rows.filter(F.col("season").isin(TRAIN)), "value", "mean").withColumn("model", F.lit("wowy"))
     holdout = rows.filter(F.col("season") == HOLDOUT).select(
         "player_id", F.col("player_name").alias("target_name"), F.col("value").alias("target")

@@ -54,6 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a frame that one plan reads several times, until ``release``."""
+    _kept.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Drop the caches of earlier plans. Frames still in use are computed again when read."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several later stages read, and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,6 +11,7 @@ from impactframe.functions.seasons import season_text, start_year_of_date, type_
 from impactframe.functions.text import is_blank, text_or_null, whole_number
 from impactframe.operators import quality as Q
 from impactframe.schemas import SCOPE, SIDE
+from impactframe.session import keep
 
 # Game types that count, and as what.
 COUNTED_GAME_TYPES = {
@@ -251,11 +252,10 @@ def normalize(
     """Canonical tables out of the raw text columns of the three files."""
     rows, conflicts = distinct_games(columns_of(raw_games, GAME_COLUMNS))
     # Read by the rows, the counts and the issues; parsing happens once.
-    prepared = prepared_games(rows, dimension).persist()
+    prepared = keep(prepared_games(rows, dimension))
     all_games = game_rows(prepared, source)
-    typed_players = prepared_players(
-        columns_of(raw_players, PLAYER_COLUMNS), prepared, player_dictionary(columns_of(raw_names, NAME_COLUMNS))
-    ).persist()
+    names = player_dictionary(columns_of(raw_names, NAME_COLUMNS))
+    typed_players = keep(prepared_players(columns_of(raw_players, PLAYER_COLUMNS), prepared, names))
     good = typed_players.filter("problem is null").drop("problem")
     games, players = covered(all_games, good)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from impactframe import schemas
 from impactframe.operators.with_without import minute_filter
 from impactframe.schemas import SCOPE
-from impactframe.session import materialize
+from impactframe.session import materialize, release
 
 SCOPE_PARTITIONS = ["season_type", "season", "team_id"]
 LOAD_PARTITIONS = ["season_type", "season"]
@@ -98,7 +98,8 @@ class Store:
     # --- writing ----------------------------------------------------------
 
     def _replace_partitions(self, df: DataFrame, name: str, partitions: list[str]) -> None:
-        # One file per partition and task: rows of a partition meet first, split by row for large ones.
+        # Spark would read the sources of cached frames again after an overwrite; drop those caches first.
+        release()
         (
             df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -157,6 +158,7 @@ class Store:
             (table, self.values(metric)),
         ):
             kept = materialize(df.filter(kept_key))
+            release()
             kept.drop("metric_id").write.mode("overwrite").partitionBy("key_hash").parquet(
                 f"{self.root}/{name}/metric_id={metric}"
             )
