@@ -28,6 +28,7 @@ from impactframe.schemas import GAME, SEASON, SIDE
 from impactframe.session import keep
 
 LINEUP_WEIGHT = 5.0
+GAMES_PER_SLICE = 20_000
 # A matrix of this many columns takes 72 MB in the task that solves it.
 MAX_MATRIX_COLUMNS = 3000
 
@@ -277,7 +278,13 @@ def _sum_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cross_products(obs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Upper triangle of the Gram matrix (code_1 <= code_2) and, under code_2 = -1, the target."""
+    """Upper triangle of the Gram matrix (code_1 <= code_2) and, under code_2 = -1, the target.
+
+    A season is cut into slices of whole games, more of them the more games it has:
+    enough to spread a large season, few enough that few matrices are shuffled.
+    """
+    # Read for the rows and for the size of each season.
+    obs = keep(obs)
     heads = obs.select(
         "season_id",
         "game_id",
@@ -296,9 +303,15 @@ def cross_products(obs: DataFrame, weights: DataFrame) -> DataFrame:
         "player_id",
         "weight",
     )
+    slices = obs.groupBy("season_id").agg(
+        F.ceil(F.count("*") / F.lit(GAMES_PER_SLICE)).cast("bigint").alias("slices")
+    )
     return (
         heads.unionByName(lineups)
-        .repartition("season_id", "game_id")
+        .join(slices, "season_id")
+        .withColumn("slice", F.pmod(F.xxhash64("game_id"), F.col("slices")))
+        .drop("slices")
+        .repartition("season_id", "slice")
         .sortWithinPartitions("season_id", "game_id")
         .mapInPandas(_sum_products, _PRODUCT_SCHEMA)
         .groupBy("season_id", "code_1", "code_2")
