@@ -12,10 +12,10 @@ from impactframe.sources.store import Store
 YEARS = range(2020, 2025)
 
 
-def season_tables(spark, season="2022-23", margin=4):
-    """Two teams, twelve games, six players each, so that every check passes."""
+def season_tables(spark, season="2022-23", margin=4, count=12):
+    """Two teams with six players each, so that every check passes."""
     g_rows, p_rows = [], []
-    for n in range(12):
+    for n in range(count):
         game = f"{season[:4]}{n:03d}"
         home, away = (1, 2) if n % 2 == 0 else (2, 1)
         value = margin + n - 6
@@ -108,7 +108,8 @@ def test_refresh_keeps_pinned_and_used_keys_only(spark, store):
 
 def test_rebuild_runs_all_stages_and_stops_at_failures(spark, tmp_path):
     names = dimension(spark, [1, 2], YEARS)
-    g, p = season_tables(spark)
+    # Enough games for the default minimums.
+    g, p = season_tables(spark, count=60)
     ingested = Ingested(g, p, loads_of(spark, g, p), None)
     done = J.rebuild(Store(spark, str(tmp_path / "good")), names, ingested, ["wowy", "ridge"])
     assert done.failed_stage is None, done.message
