@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from impactframe.llm import line_runs
+from impactframe.llm import byte_bpe, line_runs, token_records
 
 QUERIES = {
     "op5_line_dedup": line_runs.op5_line_dedup,
+    "op6_token_records": token_records.op6_token_records,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
 }
 ORACLES = {
     "op5_line_dedup": line_runs.OP5_SQL,
