@@ -30,6 +30,10 @@ def _classes() -> np.ndarray:
     return table
 
 
+def classes_of(points: np.ndarray) -> np.ndarray:
+    return _classes()[points]
+
+
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte position and code point of every character of valid UTF-8."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
@@ -52,7 +56,7 @@ def pieces(block: Block, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not n:
         empty = np.empty(0, np.int64)
         return empty, empty, empty
-    kind = _classes()[points]
+    kind = classes_of(points)
     first = np.zeros(n + 1, dtype=bool)
     first[np.searchsorted(at, block.bounds)] = True
     last = first[1:]  # the next character belongs to another text

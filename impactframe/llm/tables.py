@@ -41,3 +41,8 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
         if path is not None:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hashed_share(column: str, salt: int = 0) -> Column:
+    """A number in [0, 1) that depends on the id alone: what is below p is a sample of the share p."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(salt)), 11) / float(1 << 53)
