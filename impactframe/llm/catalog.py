@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, line_runs, token_records
+from impactframe.llm import byte_bpe, codeword_language, line_runs, ngram_jaccard, token_records
 
 QUERIES = {
     "op5_line_dedup": line_runs.op5_line_dedup,
     "op6_token_records": token_records.op6_token_records,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_language_id": codeword_language.op9_language_id,
 }
 ORACLES = {
