@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, line_runs, ngram_jaccard, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, token_records
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_line_dedup": line_runs.op5_line_dedup,
     "op6_token_records": token_records.op6_token_records,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -12,5 +13,6 @@ QUERIES = {
     "op9_language_id": codeword_language.op9_language_id,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_line_dedup": line_runs.OP5_SQL,
 }
