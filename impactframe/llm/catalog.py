@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, robust_quality, token_records
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_robust_quality": robust_quality.op3_robust_quality,
     "op5_line_dedup": line_runs.op5_line_dedup,
     "op6_token_records": token_records.op6_token_records,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
