@@ -1,19 +1,55 @@
-"""The corpus pipeline: documents go through the stages in order, each written and read again."""
+"""The corpus pipeline: documents go through the stages in order, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last one, which returns
+the token ids. A text that a stage changes has its n_chars changed with it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from impactframe.llm.line_runs import dedup_lines
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard
 from impactframe.llm.tables import Scratch, read
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a determinable or with an ambiguous language go; `lang` stays as it was labelled."""
+    judged = codeword_language.predict(docs, codeword_language.learned(docs))
+    sure = (F.col("_lang_pred") != codeword_language.UNDETERMINED) & ~F.col("_ambiguous")
+    return judged.where(sure).select(docs.columns)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents share stay only in the document with the largest id."""
-    return dedup_lines(docs).select(docs.columns)
+    kept = line_runs.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays, once; a null id is an id like others."""
+    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one word in twenty stands in passages of the benchmark go."""
+    return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with digests of the ids and of what they decode to."""
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs)), "ids")
 
 
-STAGES = [("line_dedup", line_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard", duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("byte_bpe", token_stage),
+]
 
 #: A learned language decision is part of it.
 ORACLE_SQL = None
