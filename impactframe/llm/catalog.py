@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, robust_quality, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, random_indexing, robust_quality, suffix_dedup, token_records
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_robust_quality": robust_quality.op3_robust_quality,
     "op5_line_dedup": line_runs.op5_line_dedup,
     "op6_token_records": token_records.op6_token_records,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_language_id": codeword_language.op9_language_id,
+    "op10_quality_classifier": random_indexing.op10_quality_classifier,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,

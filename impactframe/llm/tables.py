@@ -36,6 +36,14 @@ class Scratch:
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
+        """Write a table whose rows of one value are in one bucket: grouping by it needs no other shuffle."""
+        self._written += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column)
+        writer.option("path", f"{self.folder}/{self._written}").option("compression", "zstd").format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
