@@ -16,41 +16,31 @@ of a position elsewhere; a round shuffles the pairs by rank, sorts them there an
 one run in about 25 bytes takes part in the first round and only repeated text in the others. Texts are kept in one
 table bucketed by block, which all rounds read without another shuffle.
 
-Defined cases: a null or empty text has no bytes; texts shorter than ``LENGTH`` have no windows; repeated rows (same
-id and text) are one document and give one row each; rows with the same id and other texts are documents of equal
-rank, and a string in both is first in both; a null id is an id below all others; other columns are not read.
+Defined cases: a null or empty text has no bytes; texts shorter than ``LENGTH`` have no windows; rows with the
+same id are of equal rank, so that a string at the same place in both is first in both: repeated rows get the same
+result each; a null id is an id below all others; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe.llm import textblock as tb
+from impactframe.llm.blocks import gather, nothing_sent, pack, pack_array, send, sent_schema, unpack, unpack_array
 from impactframe.llm.tables import Scratch, read
 
 LENGTH = 100
 SEED = 52
-#: Bytes of text in one block, about.
-BLOCK_BYTES = 2 << 20
 NO_ID = -(2**63)
 
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
-_SENT = "block long, bucket int, {}"
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values))
-
-
-def _unpack(payload: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), dtype=dtype)
 
 
 @dataclass
@@ -95,42 +85,11 @@ def runs(block: tb.Block) -> Runs:
     return Runs(owner[begins], windows[begins], windows[ends], place[begins], sums)
 
 
-@dataclass
-class Texts:
-    """The distinct documents of one block, and which of them every row is."""
-
-    block: tb.Block
-    ids: np.ndarray
-    rows: np.ndarray
-
-
-def _texts(table: pa.Table) -> Texts:
-    pairs = list(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
-    distinct = sorted({(i, t or "") for i, t in pairs})
-    number = {x: k for k, x in enumerate(distinct)}
-    batch = pa.record_batch({"text": pa.array([t for _, t in distinct], pa.string())})
-    block = next(tb.blocks([batch], max_bytes=1 << 62))
-    ids = np.array([i for i, _ in distinct], dtype=np.int64)
-    return Texts(block, ids, np.array([number[i, t or ""] for i, t in pairs]))
-
-
-def _sent(block: int, keys: np.ndarray, buckets: int, columns: dict[str, np.ndarray]) -> pa.Table:
-    """One row per bucket of the keys with the columns of its entries."""
-    bucket = (tb.mix(keys) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    filled = np.flatnonzero(np.diff(edges))
-    out = {"block": pa.array(np.full(len(filled), block)), "bucket": pa.array(filled.astype(np.int32))}
-    for name, values in columns.items():
-        out[name] = pa.array([_pack(values[order[edges[b] : edges[b + 1]]]) for b in filled.tolist()], pa.binary())
-    return pa.table(out)
-
-
-def _gather(table: pa.Table, **kinds) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The entries of one bucket: the row that sent each, and the columns."""
-    columns = {k: [_unpack(x, t) for x in table[k].to_pylist()] for k, t in kinds.items()}
-    sizes = [len(x) for x in next(iter(columns.values()))]
-    return np.repeat(np.arange(len(sizes)), sizes), {k: np.concatenate(x) for k, x in columns.items()}
+def _read(table: pa.Table) -> tuple[int, tb.Block, np.ndarray]:
+    """Number, texts and ids of the one block of the table."""
+    row = table.to_pylist()[0]
+    block, ids = unpack(row)
+    return row["block"], block, np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
 
 
 def _answers(table: pa.Table, sender: np.ndarray, chosen: np.ndarray, numbers: np.ndarray, kind: int) -> pa.Table:
@@ -141,7 +100,7 @@ def _answers(table: pa.Table, sender: np.ndarray, chosen: np.ndarray, numbers: n
         {
             "block": table["block"].take(pa.array(some, pa.int64())),
             "kind": pa.array(np.full(len(some), kind, dtype=np.int32)),
-            "numbers": pa.array([_pack(parts[i]) for i in some], pa.binary()),
+            "numbers": pa.array([pack_array(parts[i]) for i in some], pa.binary()),
         }
     )
 
@@ -150,23 +109,25 @@ _ANSWER = "block long, kind int, numbers binary"
 
 
 def _numbers(table: pa.Table, kind: int) -> np.ndarray:
-    parts = [_unpack(r["numbers"], np.int32) for r in table.to_pylist() if r["kind"] == kind]
+    parts = [unpack_array(r["numbers"], np.int32) for r in table.to_pylist() if r["kind"] == kind]
     return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.int32)
 
 
 def _send_seeds(buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        own = runs(_texts(table).block)
-        seeds = own.seeds()
-        columns = {"rank": (seeds >> np.uint64(32)).astype(np.uint32), "number": np.arange(len(seeds), dtype=np.int32)}
-        return _sent(table["block"][0].as_py(), seeds, buckets, columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                number, block, _ = _read(batch.slice(at, 1))
+                seeds = runs(block).seeds()
+                columns = {"rank": (seeds >> np.uint64(32)).astype(np.uint32), "number": np.arange(len(seeds), dtype=np.int32)}
+                yield from send(number, seeds, buckets, columns).to_batches()
 
     return run
 
 
 def _rank_seeds(table: pa.Table) -> pa.Table:
     """Half a hash is enough here: a chance repeat only takes part in the next round."""
-    sender, got = _gather(table, rank=np.uint32, number=np.int32)
+    sender, got = gather(table, rank=np.uint32, number=np.int32)
     _, number, size = np.unique(got["rank"], return_inverse=True, return_counts=True)
     return _answers(table, sender, np.flatnonzero(size[number] > 1), got["number"], 0)
 
@@ -174,24 +135,23 @@ def _rank_seeds(table: pa.Table) -> pa.Table:
 def _send_pairs(buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
-            return _NO_PAIRS
-        texts = _texts(table)
-        own, rows = runs(texts.block), _numbers(answers, 0)
+            return nothing_sent(*_PAIR)
+        block_number, block, ids = _read(table)
+        own, rows = runs(block), _numbers(answers, 0)
         seeds = own.seeds()[rows]
         columns = {
             "seed": seeds,
             "span": own.spans(rows),
-            "doc": texts.ids[own.owner[rows]],
-            "place": own.place[rows] - texts.block.bounds[own.owner[rows]],
+            "doc": ids[own.owner[rows]],
+            "place": own.place[rows] - block.bounds[own.owner[rows]],
             "number": rows,
         }
-        return _sent(table["block"][0].as_py(), seeds, buckets, columns)
+        return send(block_number, seeds, buckets, columns)
 
     return run
 
 
 _PAIR = ("seed", "span", "doc", "place", "number")
-_NO_PAIRS = pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in _PAIR})
 
 
 def _firsts(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +168,7 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple
 
 
 def _rank_pairs(table: pa.Table) -> pa.Table:
-    sender, got = _gather(table, seed=np.uint64, span=np.uint64, doc=np.int64, place=np.int64, number=np.int32)
+    sender, got = gather(table, seed=np.uint64, span=np.uint64, doc=np.int64, place=np.int64, number=np.int32)
     pair, first = _firsts([got["seed"], got["span"]], got["doc"], got["place"])
     _, at = np.unique(pair, return_index=True)
     seed = np.unique(got["seed"], return_inverse=True)[1]
@@ -227,26 +187,25 @@ def _window_list(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _send_windows(buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(table) if table.num_rows else None
         rows = _numbers(answers, 2)
-        if texts is None or not len(rows):
-            return _NO_WINDOWS
-        own = runs(texts.block)
+        if not table.num_rows or not len(rows):
+            return nothing_sent(*_WINDOW)
+        block_number, block, ids = _read(table)
+        own = runs(block)
         windows, of = _window_list(own.first[rows], own.last[rows])
         owner = own.owner[rows][of]
         ranks = tb.span_hash(own.sums, windows, windows + LENGTH)
-        columns = {"rank": ranks, "doc": texts.ids[owner], "place": windows - texts.block.bounds[owner], "number": windows.astype(np.int32)}
-        return _sent(table["block"][0].as_py(), ranks, buckets, columns)
+        columns = {"rank": ranks, "doc": ids[owner], "place": windows - block.bounds[owner], "number": windows.astype(np.int32)}
+        return send(block_number, ranks, buckets, columns)
 
     return run
 
 
 _WINDOW = ("rank", "doc", "place", "number")
-_NO_WINDOWS = pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in _WINDOW})
 
 
 def _rank_windows(table: pa.Table) -> pa.Table:
-    sender, got = _gather(table, rank=np.uint64, doc=np.int64, place=np.int64, number=np.int32)
+    sender, got = gather(table, rank=np.uint64, doc=np.int64, place=np.int64, number=np.int32)
     _, first = _firsts([got["rank"]], got["doc"], got["place"])
     return _answers(table, sender, np.flatnonzero(~first), got["number"], 3)
 
@@ -254,8 +213,7 @@ def _rank_windows(table: pa.Table) -> pa.Table:
 def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     if not table.num_rows:
         return _RESULT
-    texts = _texts(table)
-    block = texts.block
+    _, block, ids = _read(table)
     repeats, windows = _numbers(answers, 1), _numbers(answers, 3).astype(np.int64)
     if len(repeats):
         own = runs(block)
@@ -269,16 +227,15 @@ def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     spans = block.counts(block.owner(starts))
     kept = np.concatenate([[0], np.cumsum(~gone)])[block.bounds]
     content = block.data[~gone].tobytes()
-    of = texts.rows
     relative = starts - block.bounds[block.owner(starts)]
     span_lists = [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(tb.segments(relative, spans), tb.segments(relative + ends - starts, spans), strict=True)]
     return pa.table(
         {
-            "doc_id": table["doc_id"],
-            "n_bytes": pa.array(np.diff(block.bounds)[of], pa.int64()),
-            "n_removed": pa.array(removed[of], pa.int64()),
-            "spans": pa.array([[{"a": a, "b": b} for a, b in span_lists[k]] for k in of.tolist()], _SPANS),
-            "kept": pa.array([content[kept[k] : kept[k + 1]] for k in of.tolist()], pa.binary()),
+            "doc_id": pa.array(ids),
+            "n_bytes": pa.array(np.diff(block.bounds), pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "spans": pa.array([[{"a": a, "b": b} for a, b in x] for x in span_lists], _SPANS),
+            "kept": pa.array([content[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], pa.binary()),
         }
     )
 
@@ -287,31 +244,26 @@ _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _RESULT = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<a, b>> in bytes, kept binary) for the rows of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // block_bytes)))
-    blocks = scratch.bucketed(docs.withColumn("block", block), buckets, "block")
-
-    def by_block(df: DataFrame):
-        return df.groupBy("block")
+    blocks = pack(docs, scratch, buckets)
 
     def ranked(sent: DataFrame, rank) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(rank, _ANSWER)
 
-    names = lambda columns: ", ".join(f"{k} binary" for k in columns)
-    seeds = by_block(blocks).applyInArrow(_send_seeds(buckets), _SENT.format(names(("rank", "number"))))
-    repeated = ranked(seeds, _rank_seeds)
-    pairs = by_block(blocks).cogroup(by_block(repeated)).applyInArrow(_send_pairs(buckets), _SENT.format(names(_PAIR)))
+    def answered(answers: DataFrame, step, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(step, schema)
+
+    repeated = ranked(blocks.mapInArrow(_send_seeds(buckets), sent_schema("rank", "number")), _rank_seeds)
+    pairs = answered(repeated, _send_pairs(buckets), sent_schema(*_PAIR))
     settled = scratch.write(ranked(pairs, _rank_pairs))
-    windows = by_block(blocks).cogroup(by_block(settled.where("kind = 2"))).applyInArrow(_send_windows(buckets), _SENT.format(names(_WINDOW)))
+    windows = answered(settled.where("kind = 2"), _send_windows(buckets), sent_schema(*_WINDOW))
     found = settled.where("kind = 1").union(ranked(windows, _rank_windows))
     result = "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept binary"
-    cleaned = by_block(blocks).cogroup(by_block(found)).applyInArrow(_remove, result)
+    cleaned = answered(found, _remove, result)
     return cleaned.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 

@@ -40,7 +40,7 @@ class Scratch:
         """Write a table whose rows of one value are in one bucket: grouping by it needs no other shuffle."""
         self._written += 1
         name = f"scratch_{uuid.uuid4().hex}"
-        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column)
+        writer = df.write.bucketBy(buckets, column)
         writer.option("path", f"{self.folder}/{self._written}").option("compression", "zstd").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
