@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, decontaminate, line_runs, ngram_jaccard, random_indexing, robust_quality, suffix_dedup, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, ngram_jaccard, random_indexing, robust_quality, suffix_dedup, token_records
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_robust_quality": robust_quality.op3_robust_quality,
+    "op4_katz_model": katz_model.op4_katz_model,
     "op5_line_dedup": line_runs.op5_line_dedup,
     "op6_token_records": token_records.op6_token_records,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
