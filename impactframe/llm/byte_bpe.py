@@ -13,6 +13,7 @@ carried as they are, null included; no documents give no rows; other columns are
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,6 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
 from impactframe.llm import textblock as tb
 from impactframe.llm.pretokens import pieces
@@ -32,11 +32,12 @@ from impactframe.llm.tables import Scratch, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text after which a chunk is closed.
-CHUNK_BYTES = 24 << 20
-#: Distinct words of a chunk that go to one bucket, about.
-BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Tokens that are decoded at once, about.
+DECODE_TOKENS = 1 << 18
 
-_WORDS = "kind int, chunk string, bucket int, payload binary, sizes binary, doc_ids array<long>"
+_WORDS = "chunk binary, bucket int, words binary, sizes binary"
+_TEXTS = "chunk binary, doc_ids array<long>, sizes binary, numbers binary, places binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -47,6 +48,17 @@ def _unpack(payload: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), dtype=dtype)
 
 
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes: the upper ones are mostly zero if small numbers are frequent."""
+    planes = np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T
+    return _pack(planes)
+
+
+def _unpack_numbers(payload: bytes) -> np.ndarray:
+    planes = _unpack(payload, np.uint8).reshape(4, -1).astype(np.int32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+
+
 def gather_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The spans one after the other."""
     total = int(sizes.sum())
@@ -57,15 +69,17 @@ def gather_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
 class _Chunk:
     """The distinct words and the position lists of one chunk."""
 
-    def __init__(self, name: str, buckets: int):
-        self.name, self.buckets, self.size = name, buckets, 0
+    def __init__(self, buckets: int):
+        self.buckets, self.size, self.digest = buckets, 0, hashlib.blake2b(digest_size=16)
         self.hashes, self.sizes, self.data = [], [], []
         self.lists, self.counts, self.ids = [], [], []
 
     def add(self, block: tb.Block) -> None:
+        self.digest.update(block.data)
+        self.digest.update(repr((block.column("doc_id").to_pylist(), block.bounds.tolist())).encode())
         starts, ends, owner = pieces(block, spaced=True)
         h = tb.span_hash(tb.prefix_sums(block.data, 3), starts, ends)
-        unique, at, number = np.unique(h, return_index=True, return_inverse=True)
+        unique, at, number = tb.factorize(h)
         sizes = ends[at] - starts[at]
         self.lists.append((sum(map(len, self.hashes)), number.astype(np.int32)))
         self.hashes.append(unique)
@@ -75,51 +89,53 @@ class _Chunk:
         self.ids.append(block.column("doc_id"))
         self.size += len(block.data)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        hashes, sizes, data = (np.concatenate(x) for x in (self.hashes, self.sizes, self.data))
-        _, at, number = np.unique(hashes, return_index=True, return_inverse=True)
-        bucket = (hashes[at] >> np.uint64(33)).astype(np.int64) % self.buckets
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), dtype=np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
+    def _words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct words: place of the first in the lists, bucket order, and bucket edges in that order."""
+        distinct, at, number = tb.factorize(np.concatenate(self.hashes))
+        bucket = (distinct >> np.uint64(33)).astype(np.int64) % self.buckets
+        order = np.lexsort((distinct, bucket))
+        return distinct, at, number, order, np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+
+    def word_rows(self) -> Iterator[pa.RecordBatch]:
+        _, at, _, order, edges = self._words()
+        sizes, data = np.concatenate(self.sizes), np.concatenate(self.data)
         starts = np.cumsum(sizes) - sizes
-        at = at[order]
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            own = at[edges[b] : edges[b + 1]]
-            if len(own):
-                words = gather_spans(data, starts[own], sizes[own])
-                yield self._row(0, b, _pack(words), _pack(sizes[own].astype(np.int32)), None)
-        numbers = np.concatenate([rank[number[low + x]] for low, x in self.lists])
+        name = self.digest.digest()
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = at[order[edges[b] : edges[b + 1]]]
+            words = gather_spans(data, starts[own], sizes[own])
+            row = [[name], [b], [_pack(words)], [_pack(sizes[own].astype(np.int32))]]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["chunk", "bucket", "words", "sizes"])
+
+    def text_rows(self) -> Iterator[pa.RecordBatch]:
+        distinct, _, number, order, _ = self._words()
+        numbers = np.concatenate([number[low + x] for low, x in self.lists])
+        # Words by frequency, so that the position lists have small numbers; ``place`` leads from there to the buckets.
+        by_count = np.argsort(-np.bincount(numbers, minlength=len(distinct)), kind="stable")
+        rank, place = np.empty_like(by_count), np.empty_like(by_count)
+        rank[by_count] = np.arange(len(by_count))
+        place[order] = np.arange(len(order))
+        sizes = _pack(np.concatenate(self.counts).astype(np.int64))
         ids = pa.chunked_array(self.ids).to_pylist()
-        yield self._row(1, -1, _pack(numbers), _pack(np.concatenate(self.counts).astype(np.int64)), ids)
-
-    def _row(self, kind: int, bucket: int, payload: bytes, sizes: bytes, ids: list | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([kind], pa.int32()),
-                pa.array([self.name]),
-                pa.array([bucket], pa.int32()),
-                pa.array([payload], pa.binary()),
-                pa.array([sizes], pa.binary()),
-                pa.array([ids], pa.list_(pa.int64())),
-            ],
-            names=["kind", "chunk", "bucket", "payload", "sizes", "doc_ids"],
-        )
-
-
-def _chunks(buckets: int, chunk_bytes: int):
+        row = [[self.digest.digest()], [ids], [sizes], [_pack_numbers(rank[numbers])], [_pack_numbers(place[by_count])]]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["chunk", "doc_ids", "sizes", "numbers", "places"])
+
+
+def _chunks(buckets: int, chunk_bytes: int, rows: str):
+    """``rows`` names what a chunk gives: word_rows or text_rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
         chunk = None
         for block in tb.blocks(batches):
-            chunk = chunk or _Chunk(f"{task}-{n}", buckets)
+            chunk = chunk or _Chunk(buckets)
             chunk.add(block)
             if chunk.size >= chunk_bytes:
-                yield from chunk.rows()
-                chunk, n = None, n + 1
+                yield from getattr(chunk, rows)()
+                chunk = None
         if chunk:
-            yield from chunk.rows()
+            yield from getattr(chunk, rows)()
 
     return run
 
@@ -149,8 +165,8 @@ def _encode_bucket(vocabulary: Broadcast):
         encode = _encoder(vocabulary.value)._core_bpe.encode_single_piece
         known: dict[bytes, list[int]] = {}
         payloads, counts = [], []
-        for payload, sizes in zip(table["payload"].to_pylist(), table["sizes"].to_pylist(), strict=True):
-            words = memoryview(zstandard.ZstdDecompressor().decompress(payload))
+        for packed, sizes in zip(table["words"].to_pylist(), table["sizes"].to_pylist(), strict=True):
+            words = memoryview(zstandard.ZstdDecompressor().decompress(packed))
             at, flat, each = 0, [], []
             for size in _unpack(sizes, np.int32).tolist():
                 word = bytes(words[at : at + size])
@@ -168,34 +184,42 @@ def _encode_bucket(vocabulary: Broadcast):
 
 
 def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    words = words.sort_by("bucket")
-    ids = [_unpack(x, np.int32) for x in words["ids"].to_pylist()]
-    counts = [_unpack(x, np.int32) for x in words["counts"].to_pylist()]
-    ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    counts = (np.concatenate(counts) if counts else np.empty(0, np.int32)).astype(np.int64)
+    """The ids of a chunk's texts; a chunk that stands in the input several times has all its rows several times."""
+    rows = {r["bucket"]: r for r in words.to_pylist()}
+    rows = [rows[b] for b in sorted(rows)]
+    ids = np.concatenate([np.empty(0, np.int32), *(_unpack(r["ids"], np.int32) for r in rows)])
+    counts = np.concatenate([np.empty(0, np.int64), *(_unpack(r["counts"], np.int32) for r in rows)])
     starts = np.cumsum(counts) - counts
-    doc_ids = texts["doc_ids"].to_pylist()[0]
-    numbers, sizes = _unpack(texts["payload"][0].as_py(), np.int32), _unpack(texts["sizes"][0].as_py(), np.int64)
-    tokens = gather_spans(ids, starts[numbers], counts[numbers])
-    ends = np.concatenate([[0], np.cumsum(counts[numbers])])[np.concatenate([[0], np.cumsum(sizes)])]
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
-
-
-def encode(docs: DataFrame, vocabulary_path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) for the rows of ``docs`` (doc_id, text)."""
+    out = []
+    for text in texts.to_pylist():
+        places = _unpack_numbers(text["places"])
+        if len(places) != len(counts):
+            break
+        numbers = places[_unpack_numbers(text["numbers"])]
+        tokens = gather_spans(ids, starts[numbers], counts[numbers])
+        ends = np.cumsum(np.append(0, counts[numbers]))[np.cumsum(np.append(0, _unpack(text["sizes"], np.int64)))]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens, pa.int32()))
+        out.append(pa.table({"doc_id": pa.array(text["doc_ids"], pa.int64()), "ids": lists}))
+    if not out or len(out) < texts.num_rows:
+        raise RuntimeError("the documents changed between two reads; encode them with reread=False")
+    return pa.concat_tables(out)
+
+
+def encode(docs: DataFrame, vocabulary_path: str | None = None, chunk_bytes: int = CHUNK_BYTES, reread: bool = True) -> DataFrame:
+    """(doc_id, ids array<int>) for the rows of ``docs`` (doc_id, text).
+
+    The rows are read twice and have to come in the same partitions and order, as from files; that they do is
+    checked by a digest of each chunk. With ``reread=False`` they are written once before.
+    """
     spark = docs.sparkSession
     vocabulary = _shared(spark, vocabulary_path)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = docs.select("doc_id", "text").mapInArrow(_chunks(buckets, chunk_bytes), _WORDS)
-    packed = Scratch(spark, "byte-bpe").write(packed, "kind")
-    words, texts = packed.where("kind = 0"), packed.where("kind = 1")
-    encoded = (
-        words.select("chunk", "bucket", "payload", "sizes")
-        .groupBy("bucket")
-        .applyInArrow(_encode_bucket(vocabulary), "chunk string, bucket int, ids binary, counts binary")
-    )
-    texts = texts.select("chunk", "payload", "sizes", "doc_ids")
+    docs = docs.select("doc_id", "text")
+    if not reread:
+        docs = Scratch(spark, "byte-bpe").write(docs)
+    words = docs.mapInArrow(_chunks(buckets, chunk_bytes, "word_rows"), _WORDS)
+    texts = docs.mapInArrow(_chunks(buckets, chunk_bytes, "text_rows"), _TEXTS)
+    encoded = words.groupBy("bucket").applyInArrow(_encode_bucket(vocabulary), "chunk binary, bucket int, ids binary, counts binary")
     return texts.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
@@ -212,24 +236,34 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, sizes = token_bytes(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            ends = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at - 1] if at else 0
+                size = max(1, int(np.searchsorted(ends, done + DECODE_TOKENS)) - at)
+                part = batch.slice(at, size)
+                at += size
                 lists = part.column("ids")
                 ids = lists.flatten().to_numpy()
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = gather_spans(data, starts[ids], sizes[ids])
-                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
-                yield part.append_column("decoded", tb.binary_lists(flat, np.diff(ends)))
+                edges = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+                yield part.append_column("decoded", tb.binary_lists(flat, np.diff(edges)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = decode(encode(read(spark, folder, "documents")))
+def digests(decoded: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, n_tokens, hashes of the ids and of the decoded bytes, and the given columns."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *columns,
     )
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(decode(encode(read(spark, folder, "documents"))))

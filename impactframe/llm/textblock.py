@@ -11,9 +11,10 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 #: Ratio of the span hash; odd, so that it has an inverse modulo 2**64.
 _RATIO = 0x9E3779B97F4A7C15 | 1
@@ -36,7 +37,7 @@ def _powers(ratio: int, size: int) -> np.ndarray:
 
 
 def _room(n: int) -> int:
-    return max(1 << 16, 1 << int(n).bit_length())
+    return max(1 << 16, 1 << (int(n) - 1).bit_length())
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -126,6 +127,14 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             at = end
 
 
+def factorize(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes by first appearance, where each appears first, and the number of every hash."""
+    number, distinct = pd.factorize(h)
+    first = np.empty(len(distinct), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return distinct, first, number
+
+
 def segments(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Cut an array into one piece per text."""
     return np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []
