@@ -4,7 +4,7 @@ Documents are range-partitioned by id and sorted, so partition i holds the ids b
 partition tokenizes its texts and writes one shard:
 
     NNNNN-attempt.rec   records one after the other: length (u64), masked crc32 of the length (u32), payload, masked
-                        crc32 of the payload (u32); a payload is doc_id (i64), a null mark (u8) and ids (u32)
+                        crc32 of the payload (u32); a payload is doc_id (i64), a null mark (u8), the width of an id (u8) and the ids (u16 or u32)
     NNNNN-attempt.idx   (start, length) of each record (two u64), for shuffled reads
 
 all little-endian. A crc is masked as rotate-right(crc, 15) + 0xA282EAD8, so that a checksum of data that holds
@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from impactframe.llm import textblock as tb
 from impactframe.llm.byte_bpe import gather_spans
@@ -46,7 +46,7 @@ END_ID = 1
 _MASK = 0xA282EAD8
 _SHARD = "shard int, records string, index string, n_records long, n_tokens long"
 _HEAD = "<QI"
-_KEY = "<qB"
+_KEY = "<qBB"
 
 
 def masked_crc(data: bytes) -> int:
@@ -87,24 +87,35 @@ def _plain() -> np.ndarray:
     return plain
 
 
+class _ByteLetters(dict):
+    """For ``str.translate``: the letters that stand for a character's bytes in the vocabulary."""
+
+    def __missing__(self, point: int) -> str:
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self[point] = "".join(x for x, _ in level.pre_tokenize_str(chr(point)))
+        return self[point]
+
+
 class Words:
     """The ids of the distinct words of one task, each given to the tokenizer once."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
+        self.letters = _ByteLetters()
         self.hashes = np.empty(0, np.uint64)
         self.starts = self.sizes = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
     def lookup(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows of the words (distinct hashes, ascending) in ``starts`` and ``sizes``; unknown ones are added."""
+        """Rows of the words (distinct hashes) in ``starts`` and ``sizes``; unknown ones are added."""
         at = np.searchsorted(self.hashes, hashes)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == hashes[known]
         new = np.flatnonzero(~known)
         if len(new):
             words = [raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            lists = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            merged = self.tokenizer.model.tokenize
+            lists = [[x.id for x in merged(w.translate(self.letters))] for w in words]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
             self.sizes = np.append(self.sizes, sizes)
@@ -127,7 +138,7 @@ def tokenize(block: tb.Block, words: Words) -> list[np.ndarray]:
     lower = next(tb.blocks([pa.record_batch({"text": lowered})], max_bytes=1 << 62))
     starts, ends, owner = pieces(lower, spaced=False)
     h = tb.span_hash(tb.prefix_sums(lower.data, 3), starts, ends)
-    distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
+    distinct, first, number = tb.factorize(h)
     row = words.lookup(distinct, lower.data.tobytes(), starts[first], ends[first])[number]
     ids = gather_spans(words.ids, words.starts[row], words.sizes[row])
     per_text = np.bincount(owner, weights=words.sizes[row], minlength=len(block)).astype(np.int64)
@@ -145,6 +156,7 @@ def _write_shard(folder: str, vocabulary: Broadcast, end_id: int):
         task = TaskContext.get()
         name = f"{folder}/{task.partitionId():05d}-{task.taskAttemptId()}"
         store, path = fs.FileSystem.from_uri(name)
+        kind = np.dtype("<u2" if words.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         end = np.array([end_id], dtype=np.uint32)
         records = index = None
         at = n = tokens = 0
@@ -154,8 +166,8 @@ def _write_shard(folder: str, vocabulary: Broadcast, end_id: int):
                 records, index = store.open_output_stream(f"{path}.rec"), store.open_output_stream(f"{path}.idx")
             entries = []
             for doc_id, ids in zip(block.column("doc_id").to_pylist(), tokenize(block, words), strict=True):
-                ids = np.concatenate([ids, end]).astype("<u4")
-                record = frame(struct.pack(_KEY, doc_id or 0, doc_id is None) + ids.tobytes())
+                ids = np.concatenate([ids, end]).astype(kind)
+                record = frame(struct.pack(_KEY, doc_id or 0, doc_id is None, kind.itemsize) + ids.tobytes())
                 records.write(record)
                 entries += [at, len(record)]
                 at += len(record)
@@ -200,8 +212,8 @@ def _read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out: dict[str, list] = {"doc_id": [], "start": [], "ids": []}
                     for offset in (index[at:end, 0].astype(np.int64) - low).tolist():
                         payload = unframe(data, offset)
-                        doc_id, null = struct.unpack_from(_KEY, payload)
-                        ids = payload[struct.calcsize(_KEY) :]
+                        doc_id, null, width = struct.unpack_from(_KEY, payload)
+                        ids = np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_KEY)).astype("<u4").tobytes()
                         out["doc_id"].append(None if null else doc_id)
                         out["start"].append(start)
                         out["ids"].append(ids)
