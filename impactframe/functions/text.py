@@ -49,11 +49,18 @@ def played_minutes(text: Column) -> Column:
     )
 
 
+# How a quoted value and a number are shown in a signature.
+SHOWN_VALUE, SHOWN_NUMBER = "'<value>'", "<num>"
+# Pieces of a message: letters with the one digit or sign that belongs to them, letters, numbers, anything else.
+MESSAGE_PIECES = r"([A-Za-z]+[0-9-]|[A-Za-z]+|-?[0-9]+\.[0-9]+|-?[0-9]+|[^A-Za-z0-9-]+|-)"
+
+
 def message_signature(message: Column) -> Column:
-    """A message with its quoted values and numbers replaced by placeholders, to count it by kind."""
-    quoted = F.regexp_replace(message, r"'[^']*'", "'<value>'")
-    numbers = F.regexp_replace(quoted, r"(?<![A-Za-z])-?\d+(?:\.\d+)?", "<num>")
-    return F.trim(F.regexp_replace(numbers, r"\s+", " "))
+    """A message as its kind: each quoted value, number and stretch of white space stands for any other."""
+    unquoted = F.regexp_replace(message, "'[^']*'", SHOWN_VALUE)
+    pieces = F.regexp_extract_all(unquoted, F.lit(MESSAGE_PIECES), F.lit(1))
+    shown = F.transform(pieces, lambda x: F.when(x.rlike("^-?[0-9]"), F.lit(SHOWN_NUMBER)).otherwise(x))
+    return F.trim(F.regexp_replace(F.array_join(shown, ""), r"\s+", " "))
 
 
 def two_decimals(value: Column) -> Column:
