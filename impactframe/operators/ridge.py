@@ -6,9 +6,9 @@ court, the players (exposure share of the team's minutes, five per side), a team
 effect and an opponent effect. Players, teams and opponents are penalised.
 
 The cross products are summed inside each task over the games it holds, so only
-one small matrix per task and season is shuffled, never the pairs of a game. That
-needs the matrix of a season to fit a task; ``fit`` checks the number of columns
-first and hands wider seasons to a gradient solver that never builds it.
+one small matrix per task and season is shuffled, never the pairs of a game. A
+season's matrix has a row per player and two per team, however many games it has;
+every season is solved in the same way, by one factorisation per setting.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from impactframe.session import keep
 
 LINEUP_WEIGHT = 5.0
 GAMES_PER_SLICE = 20_000
-# A matrix of this many columns takes 72 MB in the task that solves it.
-MAX_MATRIX_COLUMNS = 3000
+# Pivots this small against the largest one count as zero.
+SINGULAR = 1e-11
 
 # A regression column is one number: entity id * 8 + kind.
 KINDS = {"intercept": 0, "home_court": 1, "player": 2, "team": 3, "opponent": 4}
@@ -357,6 +357,25 @@ def penalties(exposure: DataFrame, settings: list[Setting]) -> DataFrame:
 _COEFFICIENT_SCHEMA = "season_id string, setting_id int, code bigint, coefficient double"
 
 
+def _solve_system(matrix: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """The solution of a symmetric system with non-negative eigenvalues; None if it is singular."""
+    # Columns scaled to a diagonal of one, so that pivots are comparable.
+    size = np.sqrt(np.diag(matrix))
+    if (size <= 0).any():
+        return None
+    scaled = matrix / np.outer(size, size)
+    try:
+        pivots = np.diag(np.linalg.cholesky(scaled)) ** 2
+    except np.linalg.LinAlgError:
+        return None
+    if pivots.min() < SINGULAR:
+        return None
+    solution = np.linalg.solve(scaled, target / size)
+    # One step of refinement.
+    solution += np.linalg.solve(scaled, target / size - scaled @ solution)
+    return solution / size
+
+
 def _solve_season(products: pd.DataFrame, penalty: pd.DataFrame, alphas: list[float]) -> pd.DataFrame:
     """Solve one season's normal equations under each of the settings."""
     season = products["season_id"].iloc[0] if len(products) else None
@@ -374,10 +393,9 @@ def _solve_season(products: pd.DataFrame, penalty: pd.DataFrame, alphas: list[fl
     for setting, rows in penalty.groupby("setting_id"):
         diagonal = np.where(codes % 8 > KINDS["home_court"], alphas[setting], 0.0)
         diagonal[np.searchsorted(codes, rows["code"].to_numpy(np.int64))] = rows["penalty"]
-        try:
-            solution = np.linalg.solve(gram + np.diag(diagonal), target)
-        except np.linalg.LinAlgError as error:
-            raise ValueError(f"the ridge system of season {season} is singular; use a positive alpha") from error
+        solution = _solve_system(gram + np.diag(diagonal), target)
+        if solution is None:
+            raise ValueError(f"the ridge system of season {season} is singular; use a positive alpha")
         results.append(
             pd.DataFrame(
                 {"season_id": season, "setting_id": np.int32(setting), "code": codes, "coefficient": solution}
@@ -401,39 +419,13 @@ def solve(products: DataFrame, penalty: DataFrame, settings: list[Setting]) -> D
     )
 
 
-def widest_season(obs: DataFrame, exposure: DataFrame) -> int:
-    """Most regression columns any season needs."""
-    players = exposure.groupBy("season_id").count()
-    teams = (
-        obs.select("season_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-        .distinct()
-        .groupBy("season_id")
-        .agg((2 * F.count("*") + 2).alias("count"))
-    )
-    widest = players.unionByName(teams).groupBy("season_id").agg(F.sum("count").alias("n")).agg(F.max("n")).first()
-    return int(widest[0] or 0)
-
-
-def fit(
-    obs: DataFrame,
-    weights: DataFrame,
-    settings: list[Setting],
-    *,
-    min_games: int = 1,
-    max_matrix_columns: int = MAX_MATRIX_COLUMNS,
-) -> DataFrame:
+def fit(obs: DataFrame, weights: DataFrame, settings: list[Setting], *, min_games: int = 1) -> DataFrame:
     """Coefficients of every column, season and setting: season_id, setting_id, kind, entity_id, coefficient."""
-    # Both are read by the width check, the products and the penalties.
+    # Both are read by the products and the penalties.
     obs, weights = keep(obs), keep(weights)
     exposure = eligible(player_exposure(weights), min_games)
     kept = weights.join(exposure.select("season_id", "player_id"), ["season_id", "player_id"], "left_semi")
-    if widest_season(obs, exposure) <= max_matrix_columns:
-        coefficients = solve(cross_products(obs, kept), penalties(exposure, settings), settings)
-    else:
-        from impactframe.operators.ridge_gradient import solve_by_gradient
-
-        coefficients = solve_by_gradient(obs, kept, penalties(exposure, settings), settings)
-    return with_kinds(coefficients)
+    return with_kinds(solve(cross_products(obs, kept), penalties(exposure, settings), settings))
 
 
 def with_kinds(coefficients: DataFrame) -> DataFrame:

@@ -55,15 +55,14 @@ def test_fit_of_three_games(spark):
     assert got["opponent", BOS] == pytest.approx(-0.580645, abs=1e-6)
 
 
-def test_gradient_solver_agrees(spark):
-    obs, weights = sample(spark, THREE)
-    settings = [R.Setting(1.0), R.Setting(4.0, "game-count")]
-    exact = R.fit(obs, weights, settings).collect()
-    close = R.fit(obs, weights, settings, max_matrix_columns=3).collect()
-    key = lambda r: (r.setting_id, r.kind, r.entity_id or 0)
-    assert [key(r) for r in sorted(exact, key=key)] == [key(r) for r in sorted(close, key=key)]
-    for a, b in zip(sorted(exact, key=key), sorted(close, key=key)):
-        assert b.coefficient == pytest.approx(a.coefficient, abs=1e-4)
+@pytest.mark.parametrize("players", [6, 1500])
+def test_narrow_and_wide_systems_alike(players):
+    rng = np.random.default_rng(players)
+    x = rng.normal(size=(2 * players, players))
+    matrix, target = x.T @ x, rng.normal(size=players)
+    assert np.allclose(R._solve_system(matrix, target), np.linalg.solve(matrix, target), rtol=1e-9, atol=1e-12)
+    x[:, 1] = x[:, 0]
+    assert R._solve_system(x.T @ x, target) is None
 
 
 def test_home_term_alone(spark):
