@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactframe.functions.keys import is_canonical_key, key_field, key_seasons, key_teams
@@ -59,7 +60,7 @@ def refreshable(keys: DataFrame, metric: str, loads: DataFrame) -> DataFrame:
 
 
 def retained_keys(pinned: DataFrame, used: DataFrame, limit: int = RETAINED_KEYS) -> DataFrame:
-    """Pinned keys first, then the most used others until ``limit`` keys are kept."""
+    """All pinned keys, then the most used others until ``limit`` keys are kept."""
     pinned = pinned.select(
         "metric_cache_key", F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("query_count"),
         F.lit(None).cast("timestamp").alias("last_requested_at"),
@@ -68,4 +69,8 @@ def retained_keys(pinned: DataFrame, used: DataFrame, limit: int = RETAINED_KEYS
         "metric_cache_key", F.lit(1).alias("tier"), "query_count", "last_requested_at"
     )
     order = [F.asc("tier"), F.desc("query_count"), F.desc("last_requested_at"), F.asc("metric_cache_key")]
-    return pinned.unionByName(others).orderBy(*order).limit(limit)
+    # Not more than ``limit`` others can be kept; the pinned keys before them use up some of it.
+    places = pinned.agg(F.greatest(F.lit(limit) - F.count("*"), F.lit(0)).alias("_places"))
+    best = others.orderBy(*order).limit(limit)
+    ranked = best.select("*", F.row_number().over(W.orderBy(*order)).alias("_n")).join(F.broadcast(places), F.col("_n") <= F.col("_places"))
+    return pinned.unionByName(ranked.drop("_n", "_places")).orderBy(*order)

@@ -61,7 +61,7 @@ class MetricQuery:
         return {"min_average_minutes": self.min_average_minutes, "min_total_minutes": self.min_total_minutes}
 
     def unfiltered(self) -> MetricQuery:
-        """The same calculation as it is stored: without minute filters."""
+        """The same calculation as it is stored: without the filters that are not part of its key."""
         return MetricQuery(
             self.metric,
             self.season_ids,
@@ -69,10 +69,10 @@ class MetricQuery:
             self.setting,
             self.prior_games,
             self.min_games,
-            self.min_games_with,
-            self.min_games_without,
-            None,
-            None,
+            min_games_with=0,
+            min_games_without=0,
+            min_average_minutes=None,
+            min_total_minutes=None,
         )
 
 
@@ -170,7 +170,7 @@ def resolved_leaderboard(store: Store, dimension: DataFrame, query: MetricQuery,
 
 
 def ensure_cached(store: Store, dimension: DataFrame, query: MetricQuery) -> tuple[str, int]:
-    """('cached' or 'built', row count) of a calculation; it is stored without minute filters."""
+    """('cached' or 'built', row count) of a calculation; it is stored without the filters of a query."""
     query = query.unfiltered()
     fingerprint = current_fingerprint(store, query)
     if fingerprint is None:
@@ -232,10 +232,15 @@ def audit_store(store: Store, dimension: DataFrame) -> DataFrame:
     for metric in METRICS:
         part = store.values(metric).select("metric_id", "metric_cache_key", "season_id")
         stored = part if stored is None else stored.unionByName(part)
-    prints = [
-        (row["metric_id"], row["metric_cache_key"], current_fingerprint(store, query_of_key(row["metric_cache_key"])))
-        for row in entries.select("metric_id", "metric_cache_key").collect()
-    ]
+    # As many entries as calculations are retained.
+    prints = []
+    for row in entries.select("metric_id", "metric_cache_key").collect():
+        try:
+            current = current_fingerprint(store, query_of_key(row["metric_cache_key"]))
+        except (ValueError, KeyError, TypeError):
+            # No calculation has such a key; the checks of the entries report it.
+            current = None
+        prints.append((row["metric_id"], row["metric_cache_key"], current))
     fingerprints = store.spark.createDataFrame(
         prints, "metric_id string, metric_cache_key string, source_fingerprint string"
     )
@@ -252,12 +257,18 @@ class Rebuilt:
 
 
 def rebuild(store: Store, dimension: DataFrame, ingested, metrics: list[str] | None = None, *, strict: bool = True) -> Rebuilt:
-    """Store ingested tables, refresh the metrics in order, audit; stop at the first stage that fails."""
+    """Store ingested tables, refresh the metrics in order, audit; stop at the first stage that fails.
+
+    Team-seasons that could be ingested are stored even if others failed.
+    """
     failures = getattr(ingested, "failures", None)
-    if failures is not None and not failures.isEmpty():
+    failed = failures is not None and not failures.isEmpty()
+    if failed:
         store.append_failures(failures)
+    if not ingested.loads.isEmpty():
+        store.replace_scopes(ingested.games, ingested.game_players, ingested.loads)
+    if failed:
         return Rebuilt({}, "ingest", "some team-seasons could not be ingested")
-    store.replace_scopes(ingested.games, ingested.game_players, ingested.loads)
     done: dict[str, list[tuple[str, str, int]]] = {}
     for metric in metrics or METRICS:
         try:

@@ -92,6 +92,20 @@ def test_stored_rows_equal_live_rows(spark, store, metric):
     assert J.resolve(store, names, q)[1] == "live"
 
 
+@pytest.mark.parametrize("metric", ["wowy", "wowy_shrunk", "ridge"])
+@pytest.mark.parametrize("first, then", [(9, 1), (1, 9)])
+def test_stored_rows_answer_every_minimum(spark, store, metric, first, then):
+    names = dimension(spark, [1, 2], YEARS)
+    limits = lambda n: {"min_games": 1, "min_games_with": n, "min_games_without": 1}
+    J.ensure_cached(store, names, query(metric, **limits(first)))
+    asked = query(metric, **limits(then))
+    cached, source = J.resolve(store, names, asked)
+    assert source == "cache"
+    live = J.live_rows(store, names, asked)
+    keys = lambda df: {(r.season_id, r.player_id) for r in df.collect()}
+    assert keys(cached) == keys(live)
+
+
 def test_refresh_keeps_pinned_and_used_keys_only(spark, store):
     names = dimension(spark, [1, 2], YEARS)
     used = J.MetricQuery("wowy_shrunk", ["2022-23:REGULAR"], [1], prior_games=5.0)
@@ -128,6 +142,15 @@ def test_audit_finds_tampered_store(spark, store):
     assert messages == {"source_fingerprint does not match the current source tables"}
 
 
+def test_audit_survives_a_key_that_no_query_has(spark, store):
+    names = dimension(spark, [1, 2], YEARS)
+    J.ensure_cached(store, names, query("wowy"))
+    rows = store.values("wowy").drop("metric_id", "key_hash").limit(1)
+    store.replace_metric("wowy", "no key at all", rows, build_version="x", fingerprint="old")
+    messages = " ".join(r.message for r in J.audit_store(store, names).collect())
+    assert "parseable" in messages
+
+
 def test_keys_are_canonical():
     key = K.cache_key("ridge", ["2022-23:PLAYOFFS", "2022-23:REGULAR", "2021-22:REGULAR"], [3, 1, 3], {"ridge_alpha": 10.005, "shrinkage_mode": "uniform", "shrinkage_strength": 10, "shrinkage_minute_scale": 10.004, "min_games": 35})
     assert key == (
