@@ -340,6 +340,12 @@ def ingest_issues(spark, folder):
     return _ingested(spark, folder).issues
 
 
+def ingest_failures(spark, folder):
+    """Refused team-seasons, with the number of games behind each message."""
+    failures = _ingested(spark, folder).failures
+    return failures.groupBy(*scopes.SCOPE, "failure_kind", "message").agg(F.countDistinct("game_id").alias("games"))
+
+
 def ingest_summary(spark, folder):
     return csv_files.ingest_summary(_ingested(spark, folder).loads)
 
@@ -379,6 +385,7 @@ QUERIES = {
     "ingest_game_players": ingest_game_players,
     "ingest_loads": ingest_loads,
     "ingest_issues": ingest_issues,
+    "ingest_failures": ingest_failures,
     "ingest_summary": ingest_summary,
 }
 
@@ -424,7 +431,8 @@ load_counts AS (
     x.expected_games_row_count, coalesce(s.n, 0) AS skipped_games_row_count
   FROM (SELECT team_id, season, count(*) AS games_row_count FROM kept_games GROUP BY ALL) e
   JOIN (SELECT team_id, season, count(*) AS game_players_row_count FROM kept_players GROUP BY ALL) p USING (team_id, season)
-  JOIN (SELECT team_id, season, count(*) AS expected_games_row_count FROM counted GROUP BY ALL) x USING (team_id, season)
+  JOIN (SELECT team_id, season, count(*) AS expected_games_row_count FROM raw WHERE n % 17 <> 0 AND n % 23 <> 0
+    GROUP BY ALL) x USING (team_id, season)
   LEFT JOIN skipped s USING (team_id, season))"""
 
 ORACLES = {
@@ -652,6 +660,16 @@ digests AS (
           UNION ALL SELECT 'game_players', 'game_id=''' || game_id || ''',team_id=' || team_id || ',player_id=' || player_id,
             'blank player name' FROM typed WHERE player_name IS NULL""",
     ),
+    "ingest_failures": over(
+        DIMENSION,
+        _RAW,
+        select="""SELECT team_id, season,
+            CASE WHEN n % 17 <> 0 THEN 'Regular Season' END AS season_type, 'partial_scope_error' AS failure_kind,
+            'conflicting rows for one game id' AS message, count(*) AS games
+          FROM raw WHERE game_id IN (SELECT game_id FROM conflicting) AND NOT (n % 23 = 0 AND NOT is_home) GROUP BY ALL
+          UNION ALL SELECT team_id, season, season_type, 'partial_scope_error', 'blank player name', count(DISTINCT game_id)
+          FROM typed WHERE player_name IS NULL GROUP BY ALL""",
+    ),
     "ingest_summary": over(
         DIMENSION,
         _RAW,

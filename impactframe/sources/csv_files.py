@@ -58,6 +58,7 @@ class Ingested:
     game_players: DataFrame
     loads: DataFrame
     issues: DataFrame
+    failures: DataFrame | None = None
 
 
 def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
@@ -72,12 +73,10 @@ def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def distinct_games(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per game id, issues). Identical repeats collapse; differing ones are left out and reported."""
+    """(one row per game id, conflicting rows). Identical repeats collapse; no one of differing ones is right."""
     rows = raw.distinct()
-    counts = rows.groupBy("gameId").agg(F.count("*").alias("_variants"))
-    conflicts = counts.filter("_variants > 1")
-    issues = Q.issue_rows(conflicts, "games", Q.key_text(game_id="gameId"), F.lit("conflicting rows for one game id"))
-    return rows.join(conflicts, "gameId", "left_anti"), issues
+    conflicts = rows.groupBy("gameId").agg(F.count("*").alias("_variants")).filter("_variants > 1").select("gameId")
+    return rows.join(conflicts, "gameId", "left_anti"), rows.join(conflicts, "gameId", "left_semi")
 
 
 def player_dictionary(raw: DataFrame) -> DataFrame:
@@ -250,16 +249,18 @@ def normalize(
     build_version: str = "v1",
 ) -> Ingested:
     """Canonical tables out of the raw text columns of the three files."""
-    rows, conflicts = distinct_games(columns_of(raw_games, GAME_COLUMNS))
+    rows, conflicting = distinct_games(columns_of(raw_games, GAME_COLUMNS))
     # Read by the rows, the counts and the issues; parsing happens once.
     prepared = keep(prepared_games(rows, dimension))
+    unsettled = keep(prepared_games(conflicting, dimension))
     all_games = game_rows(prepared, source)
     names = player_dictionary(columns_of(raw_names, NAME_COLUMNS))
     typed_players = keep(prepared_players(columns_of(raw_players, PLAYER_COLUMNS), prepared, names))
     good = typed_players.filter("problem is null").drop("problem")
     games, players = covered(all_games, good)
 
-    expected = all_games.groupBy(*SCOPE).agg(F.count("*").alias("expected_games_row_count"))
+    # Rejected games are expected too, so a season without them is not complete.
+    expected = _counted_sides(prepared.unionByName(unsettled)).groupBy(*SCOPE).agg(F.count("*").alias("expected_games_row_count"))
     stored_games = games.groupBy(*SCOPE).agg(F.count("*").alias("games_row_count"))
     stored_players = players.groupBy(*SCOPE).agg(F.count("*").alias("game_players_row_count"))
     loads = (
@@ -281,20 +282,73 @@ def normalize(
     )
     player_key = Q.key_text(game_id="game_id", team_id="team_id", player_id="player_id")
     batch = Q.scope_findings(games, players, total_minutes=None)
+    conflicts = conflicting.select("gameId").distinct()
     issues = (
-        conflicts.unionByName(Q.issue_rows(prepared, "games", Q.key_text(game_id="game_id"), F.col("problem")))
+        Q.issue_rows(conflicts, "games", Q.key_text(game_id="gameId"), F.lit(CONFLICT))
+        .unionByName(Q.issue_rows(prepared, "games", Q.key_text(game_id="game_id"), F.col("problem")))
         .unionByName(Q.issue_rows(typed_players, "game_players", player_key, F.col("problem")))
         .unionByName(Q.scope_issues(batch))
     )
-    return Ingested(games, players, loads, issues)
+    failures = _failed_games(prepared.filter("problem is not null"))
+    failures = failures.unionByName(_failed_games(unsettled.withColumn("problem", F.lit(CONFLICT))))
+    failures = failures.unionByName(_failed_players(typed_players, prepared)).unionByName(_failed_scopes(batch)).distinct()
+    return Ingested(games, players, loads, issues, failures)
 
 
-def ingest_folder(spark: SparkSession, folder: str, dimension: DataFrame, **options) -> Ingested:
-    """Canonical tables out of ``Games.csv``, ``PlayerStatistics.csv`` and ``Players.csv``."""
+CONFLICT = "conflicting rows for one game id"
+
+
+def _counted_sides(prepared: DataFrame) -> DataFrame:
+    """The team-games that the rows speak of, whether or not their values can be used."""
+    counted = prepared.filter("season_type is not null and home_team is not null and away_team is not null and season is not null")
+    return counted.select("game_id", "season", "season_type", F.explode(F.array("home_team", "away_team")).alias("team_id")).distinct()
+
+
+def _failures(df: DataFrame, kind: str) -> DataFrame:
+    return df.select(*SCOPE, "game_id", F.lit(kind).alias("failure_kind"), F.col("problem").alias("message"))
+
+
+def _failed_games(bad: DataFrame) -> DataFrame:
+    """A failure for each known team of the game; the team is null if none is known."""
+    teams = F.array_compact(F.array("home_team", "away_team"))
+    teams = F.when(F.size(teams) > 0, teams).otherwise(F.array(F.lit(None).cast("bigint")))
+    return _failures(bad.withColumn("team_id", F.explode(teams)), "partial_scope_error")
+
+
+def _failed_players(typed: DataFrame, prepared: DataFrame) -> DataFrame:
+    """A failure for the team of the row, or for both if the row does not say which."""
+    bad = typed.filter("problem is not null").join(prepared.select("game_id", "home_team", "away_team"), "game_id")
+    teams = F.when(F.col("team_id").isNull(), F.array("home_team", "away_team")).otherwise(F.array("team_id"))
+    return _failures(bad.withColumn("_teams", teams).drop("team_id").withColumn("team_id", F.explode("_teams")), "partial_scope_error")
+
+
+def _failed_scopes(findings: DataFrame) -> DataFrame:
+    """The first finding of every team-season whose rows are fine one by one, but not together."""
+    first = findings.groupBy(*SCOPE).agg(F.min(F.struct("step", "game_id", "message")).alias("first"))
+    return _failures(first.select(*SCOPE, "first.game_id", F.col("first.message").alias("problem")), "validation_error")
+
+
+def whole_scopes(ingested: Ingested) -> Ingested:
+    """Only the team-seasons without a failure; a failure without a team refuses its season, one without both everything."""
+    refused = ingested.failures.select(*(F.col(c).alias(f"_{c}") for c in SCOPE)).distinct()
+    hit = F.lit(True)
+    for column in SCOPE:
+        hit = hit & (F.col(f"_{column}").isNull() | (F.col(column) == F.col(f"_{column}")))
+    bad = ingested.loads.select(*SCOPE).join(refused, hit, "left_semi")
+    kept = [df.join(bad, SCOPE, "left_anti") for df in (ingested.games, ingested.game_players, ingested.loads)]
+    return Ingested(*kept, ingested.issues, ingested.failures)
+
+
+def ingest_folder(spark: SparkSession, folder: str, dimension: DataFrame, *, refuse: bool = True, **options) -> Ingested:
+    """Canonical tables out of ``Games.csv``, ``PlayerStatistics.csv`` and ``Players.csv``.
+
+    A team-season with any problem is refused as a whole; without ``refuse`` it keeps its good rows.
+    """
     names = ["Games.csv", "PlayerStatistics.csv", "Players.csv"]
     frames = [read_text_columns(spark, f"{folder}/{name}") for name in names]
     snapshot = source_snapshot(spark, [f"{folder}/{name}" for name in names])
-    return normalize(*frames, dimension, source_path=folder, source_snapshot=snapshot, **options)
+    ingested = normalize(*frames, dimension, source_path=folder, source_snapshot=snapshot, **options)
+    return whole_scopes(ingested) if refuse else ingested
 
 
 def source_snapshot(spark: SparkSession, paths: list[str], prefix: str = "kaggle-v1") -> str:
@@ -324,13 +378,13 @@ def ingest_summary(loads: DataFrame) -> DataFrame:
     ).select("scope.*", "scopes", "games", "game_players", "skipped_games")
 
 
-def column_profile(spark: SparkSession, folder: str, names: list[str], sample_rows: int = 1000) -> DataFrame:
-    """Columns of each file and the type its first rows suggest."""
+def column_profile(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """Columns of each file and the narrowest type that all its values have."""
     profile = None
     for name in names:
-        sample = spark.read.csv(f"{folder}/{name}", header=True, escape='"').limit(sample_rows)
+        table = spark.read.csv(f"{folder}/{name}", header=True, escape='"')
         kinds = []
-        for position, column in enumerate(sample.columns):
+        for position, column in enumerate(table.columns):
             value = text_or_null(F.col(f"`{column}`"))
 
             def all_are(kind: str, value: Column = value) -> Column:
@@ -350,8 +404,8 @@ def column_profile(spark: SparkSession, folder: str, names: list[str], sample_ro
                     guess.alias("type"),
                 )
             )
-        rows = sample.agg(F.array(*kinds).alias("columns"), F.count("*").alias("sample_rows")).select(
-            F.lit(name).alias("file"), "sample_rows", F.inline("columns")
+        rows = table.agg(F.array(*kinds).alias("columns"), F.count("*").alias("rows")).select(
+            F.lit(name).alias("file"), "rows", F.inline("columns")
         )
         profile = rows if profile is None else profile.unionByName(rows)
     return profile

@@ -73,7 +73,7 @@ def csv_folder(tmp_path):
 
 
 def test_csv_folder(spark, csv_folder):
-    result = C.ingest_folder(spark, csv_folder, dimension(spark, [1, 2], range(2020, 2025)))
+    result = C.ingest_folder(spark, csv_folder, dimension(spark, [1, 2], range(2020, 2025)), refuse=False)
     games = {(r.game_id, r.team_id): (r.margin, r.is_home, r.season) for r in result.games.collect()}
     assert games == {
         ("1", 1): (10.0, True, "2022-23"),
@@ -94,11 +94,35 @@ def test_csv_folder(spark, csv_folder):
     assert profile["Players.csv", "firstName"] == "string"
 
 
-def test_differing_repeats_are_left_out(spark):
+def test_differing_repeats_are_set_apart(spark):
     raw = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "a"), ("2", "b")], "gameId string, x string")
-    rows, issues = C.distinct_games(raw)
+    rows, conflicting = C.distinct_games(raw)
     assert [r.gameId for r in rows.collect()] == ["1"]
-    assert [r.message for r in issues.collect()] == ["conflicting rows for one game id"]
+    assert sorted(r.x for r in conflicting.collect()) == ["a", "b"]
+
+
+def test_a_bad_game_refuses_its_team_seasons(spark):
+    days = ["2022-11-01 19:00:00", "2022-11-02 19:00:00", "2021-11-02 19:00:00"]
+    rows = [("1", days[0], "1", "2", "100"), ("2", days[1], "1", "3", "?"), ("3", days[2], "1", "2", "90")]
+    games = spark.createDataFrame(
+        [(i, "Regular Season", day, h, a, score, "80") for i, day, h, a, score in rows],
+        "gameId string, gameType string, gameDateTimeEst string, hometeamId string, awayteamId string, homeScore string, awayScore string",
+    )
+    players = spark.createDataFrame(
+        [(g, h, f"{h}{n}", "A", "B", "20") for g in "123" for h in "01" for n in range(5)],
+        "gameId string, home string, personId string, firstName string, lastName string, numMinutes string",
+    )
+    names = spark.createDataFrame([], "personId string, firstName string, lastName string")
+    result = C.normalize(games, players, names, dimension(spark, [1, 2, 3], range(2020, 2025)))
+    counts = {(r.team_id, r.season): (r.games_row_count, r.expected_games_row_count) for r in result.loads.collect()}
+    assert counts[1, "2022-23"] == (1, 2) and counts[2, "2022-23"] == (1, 1)
+    failures = {(r.team_id, r.season, r.failure_kind, r.message) for r in result.failures.collect()}
+    assert failures == {(t, "2022-23", "partial_scope_error", "missing or invalid score") for t in (1, 3)}
+    whole = C.whole_scopes(result)
+    kept = {(1, "2021-22"), (2, "2021-22"), (2, "2022-23")}
+    for table in (whole.games, whole.game_players, whole.loads):
+        assert {(r.team_id, r.season) for r in table.collect()} == kept
+
 
 
 def _sets(player_rows, team_rows):
