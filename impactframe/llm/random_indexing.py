@@ -16,6 +16,7 @@ the same score each; no documents give no rows; other columns are carried along
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.taskcontext import TaskContext
 
 from impactframe.llm import textblock as tb
+from impactframe.llm.blocks import pack_array, unpack_array
 from impactframe.llm.tables import Scratch, fold, hashed_share, read
 
 BUCKETS = 1 << 14
@@ -37,7 +40,7 @@ HIDDEN = 48
 EPOCHS = 30
 THRESHOLD = 0.7
 #: Rows of the word-vector table that are summed as one.
-_STRIP = 1 << 10
+_STRIP = 1 << 8
 _PARTS = 4
 WIDTH = DIMENSIONS + 2 + _PARTS
 
@@ -73,7 +76,7 @@ def word_buckets(block: tb.Block) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's sums of index vectors by word bucket, in strips of the table."""
     index = index_vectors()
-    sums = np.zeros((BUCKETS, DIMENSIONS))
+    sums = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float64)
     for block in tb.blocks(batches):
         buckets, owner = word_buckets(block)
         if not len(buckets):
@@ -87,23 +90,29 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(buckets, kind="stable")
         begins = np.flatnonzero(np.append(True, np.diff(buckets[order]) != 0))
         sums[buckets[order[begins]]] += np.add.reduceat(near[order], begins, axis=0)
-    strips = [sums[at : at + _STRIP].tobytes() for at in range(0, BUCKETS, _STRIP)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary())], names=["strip", "sums"])
+    strips = [pack_array(sums[at : at + _STRIP].astype(np.int64)) for at in range(0, BUCKETS, _STRIP)]
+    task = np.full(len(strips), TaskContext.get().partitionId())
+    columns = [pa.array(range(len(strips)), pa.int32()), pa.array(task, pa.int64()), pa.array(strips, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["strip", "task", "sums"])
 
 
 def _add_strips(table: pa.Table) -> pa.Table:
-    # Sums of whole numbers below 2**53: exact in any order.
-    total = sum(np.frombuffer(x.as_buffer()) for x in table["sums"])
-    return pa.table({"strip": table["strip"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    # Whole numbers: the same in any order.
+    total = sum(unpack_array(x, np.int64) for x in table["sums"].to_pylist())
+    return table.slice(0, 1).select(["strip", "task"]).append_column("sums", pa.array([pack_array(total)], pa.binary()))
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors; its size does not depend on the corpus."""
-    strips = docs.select("text").mapInArrow(_contexts, "strip int, sums binary")
-    rows = strips.groupBy("strip").applyInArrow(_add_strips, "strip int, sums binary").collect()
+    schema = "strip int, task long, sums binary"
+    strips = docs.select("text").mapInArrow(_contexts, schema)
+    # In two steps, so that no task adds up what all tasks send.
+    parts = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    strips = strips.withColumn("task", F.col("task") % parts).groupBy("strip", "task").applyInArrow(_add_strips, schema)
+    rows = strips.groupBy("strip").applyInArrow(_add_strips, schema).select("strip", "sums").collect()
     if not rows:
         return np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)
-    table = np.concatenate([np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["strip"])]).reshape(BUCKETS, DIMENSIONS)
+    table = np.concatenate([unpack_array(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["strip"])]).reshape(BUCKETS, DIMENSIONS)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
