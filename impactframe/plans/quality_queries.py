@@ -299,6 +299,15 @@ _UNION = """(SELECT * FROM game_problems WHERE message IS NOT NULL UNION ALL
   SELECT * FROM player_problems WHERE message IS NOT NULL UNION ALL SELECT * FROM pair_problems)"""
 
 ORACLES = {
+    "document_signatures": r"""
+      WITH pieces AS (
+        SELECT regexp_extract_all(regexp_replace(text, '''[^'']*''', '''<value>''', 'g'),
+          '[A-Za-z]+[0-9-]|[A-Za-z]+|-?[0-9]+\.[0-9]+|-?[0-9]+|[^A-Za-z0-9-]+|-') AS p FROM documents),
+      shown AS (
+        SELECT array_to_string(list_transform(p, lambda x: CASE WHEN regexp_matches(x, '^-?[0-9]') THEN '<num>' ELSE x END), '')
+          AS t FROM pieces)
+      SELECT trim(regexp_replace(t, '[\x09-\x0D ]+', ' ', 'g'), ' ') AS signature, count(*) AS documents
+      FROM shown GROUP BY ALL""",
     "game_issues": over(
         DEFECTIVE, DIMENSION, _GAME_ISSUES, select="SELECT * FROM game_problems WHERE message IS NOT NULL"
     ),
