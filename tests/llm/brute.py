@@ -66,19 +66,20 @@ def base_statistics(text):
     return len(w), sum(map(len, w)), sum(map((text or "").count, "#*$%&|<>")), dups, len(covered), failed
 
 
-def lines(docs):
+def kept_lines(docs):
+    """(doc_id, all lines, kept lines) of every row."""
     holders = defaultdict(set)
     key = lambda x: x.strip(SPACES).translate(LOWER)
     for doc, text in docs:
         for line in (text or "").split("\n"):
             if len(key(line)) >= 20:
                 holders[key(line)].add(doc)
-    out = []
-    for doc, text in docs:
-        all_lines = (text or "").split("\n")
-        kept = [x for x in all_lines if len(holders[key(x)]) < 3 or max(holders[key(x)]) == doc]
-        out.append((doc, len(all_lines), len(all_lines) - len(kept), sha("\n".join(kept))))
-    return out
+    split = [(doc, (text or "").split("\n")) for doc, text in docs]
+    return [(d, x, [y for y in x if len(holders[key(y)]) < 3 or max(holders[key(y)]) == d]) for d, x in split]
+
+
+def lines(docs):
+    return [(d, len(x), len(x) - len(y), sha("\n".join(y))) for d, x, y in kept_lines(docs)]
 
 
 def components(docs):
