@@ -86,15 +86,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, share:
     judged = judged.withColumn("_spans", F.when(F.size("_hits") > 0, F.aggregate(bounds, none, merged)).otherwise(none))
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["b"] - s["a"])
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda c: c["items"]))))
-    judged = judged.withColumns(
-        {
-            "_n_words": F.size("_words").cast("long"),
-            "_n_hit": n_hit,
-            "_items": F.coalesce(items, F.array().cast("array<string>")),
-        }
+    result = F.struct(
+        F.size("_words").cast("long").alias("_n_words"),
+        F.col("_spans"),
+        n_hit.alias("_n_hit"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("_items"),
     )
-    judged = judged.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
-    return judged.drop("_found", "_words", "_hits")
+    # Through a generator: a filter on the verdict would otherwise be pushed below all this and split the text again
+    # for every candidate.
+    judged = judged.select(*docs.columns, F.inline(F.array(result)))
+    return judged.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
