@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, ngram_jaccard, random_indexing, robust_quality, suffix_dedup, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, ngram_jaccard
+from impactframe.llm import random_indexing, robust_quality, suffix_dedup, token_records
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,

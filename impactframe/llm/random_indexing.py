@@ -3,8 +3,9 @@
 Every hash bucket of words has a fixed sparse random index vector. A word's vector is the sum of the index vectors
 of its neighbours, over the whole corpus, scaled to length 1; buckets bound the table whatever the vocabulary. A
 text is the mean of its words' vectors with the length of that mean (long if few words make up the text), the
-logarithm of the number of words, and how far the means of the text's quarters are from it. A network of two layers gives the probability, whose logit is divided by a
-temperature fitted on labelled texts that the weights were not fitted on.
+logarithm of the number of words, and how far the means of the text's quarters are from it. A network of two layers
+gives the probability, whose logit is divided by a temperature fitted on labelled texts that the weights were not
+fitted on.
 
 The word vectors learn from all texts and no label; the network learns from about ``SAMPLE`` labelled texts chosen
 by a hash of the id, so that what the driver collects is bounded.

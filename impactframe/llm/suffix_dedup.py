@@ -228,7 +228,8 @@ def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
     kept = np.concatenate([[0], np.cumsum(~gone)])[block.bounds]
     content = block.data[~gone].tobytes()
     relative = starts - block.bounds[block.owner(starts)]
-    span_lists = [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in zip(tb.segments(relative, spans), tb.segments(relative + ends - starts, spans), strict=True)]
+    both = zip(tb.segments(relative, spans), tb.segments(relative + ends - starts, spans), strict=True)
+    span_lists = [list(zip(a.tolist(), b.tolist(), strict=True)) for a, b in both]
     return pa.table(
         {
             "doc_id": pa.array(ids),
@@ -241,7 +242,8 @@ def _remove(table: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_RESULT = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], _SPANS), "kept": pa.array([], pa.binary())})
+_KINDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": _SPANS, "kept": pa.binary()}
+_RESULT = pa.table({k: pa.array([], t) for k, t in _KINDS.items()})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -44,12 +44,6 @@ class Scratch:
         writer.option("path", f"{self.folder}/{self._written}").option("compression", "zstd").format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0]) if df.inputFiles() else None
-        if path is not None:
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def hashed_share(column: str, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on the id alone: what is below p is a sample of the share p."""
