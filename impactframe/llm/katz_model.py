@@ -117,17 +117,32 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
-def discounts(of_counts: np.ndarray) -> np.ndarray:
-    """Factors for counts 0 to DISCOUNTED, then 1: Katz's from the counts of counts, or (c - 1/2) / c where those
-    do not give factors between 0 and 1. ``of_counts[i]`` keys have the count i + 1."""
+def smoothed(of_counts: np.ndarray) -> np.ndarray | None:
+    """Counts of counts on the line through their logarithms, as in simple Good-Turing; None with fewer than two.
+
+    ``of_counts[i]`` keys have the count i + 1. A count that nothing has shares the next one's keys.
+    """
     n = np.asarray(of_counts, dtype=float)
+    r = np.arange(1, len(n) + 1)
+    at = r[n > 0]
+    if len(at) < 2:
+        return None
+    before = np.concatenate([[0], at[:-1]])
+    after = np.append(at[1:], 2 * at[-1] - before[-1])
+    slope, level = np.polyfit(np.log(at), np.log(n[at - 1] / ((after - before) / 2)), 1)
+    return np.exp(level + slope * np.log(r))
+
+
+def discounts(of_counts: np.ndarray) -> np.ndarray:
+    """Factors for counts 0 to DISCOUNTED, then 1: Katz's from the smoothed counts of counts. Those are between 0
+    and 1 where the counts of counts fall faster than 1 / count; a factor that is not is (c - 1/2) / c."""
     r = np.arange(1, DISCOUNTED + 1)
     factors = (r - 0.5) / r
-    if (n > 0).all():
+    n = smoothed(of_counts)
+    if n is not None:
         common = (DISCOUNTED + 1) * n[DISCOUNTED] / n[0]
         katz = ((r + 1) * n[1:] / n[:-1] / r - common) / (1 - common) if common < 1 else np.zeros(DISCOUNTED)
-        if ((katz > 0) & (katz < 1)).all():
-            factors = katz
+        factors = np.where((katz > 0) & (katz < 1), katz, factors)
     return np.concatenate([[0.0], factors, [1.0]])
 
 

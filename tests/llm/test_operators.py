@@ -102,6 +102,33 @@ def test_katz_model(docs, no_docs, pairs):
     assert katz_model.katz_scores(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    "of_counts",
+    [
+        [200420, 57120, 23804, 13644, 12859, 6775],
+        [1482341, 227973, 46941, 19718, 17404, 6993],
+        [90, 0, 12, 0, 7, 0],
+    ],
+)
+def test_katz_discounts_stay_good_turing(of_counts):
+    # The counts of counts of real texts with copies: n_5 is lifted.
+    factors = katz_model.discounts(np.array(of_counts))[1:-1]
+    assert ((factors > 0) & (factors < 1)).all()
+    assert not np.isclose(factors, [(r - 0.5) / r for r in range(1, 6)]).any()
+    # What the discounts take from the smoothed counts is the smoothed share of what occurs once.
+    fit = katz_model.smoothed(np.array(of_counts))
+    assert sum((1 - f) * r * n for f, r, n in zip(factors, range(1, 6), fit)) == pytest.approx(fit[0])
+
+
+def test_katz_discounts_of_a_power_law():
+    # r* / r is r / (r + 1), and the common share 1 / 6.
+    got = katz_model.discounts(np.array([3600 / r**2 for r in range(1, 7)]))
+    assert np.allclose(got, [0, *((r / (r + 1) - 1 / 6) / (5 / 6) for r in range(1, 6)), 1])
+    # Nothing to fit, or counts of counts that do not fall: no Good-Turing discount there is.
+    for flat in ([0] * 6, [5, 0, 0, 0, 0, 0], [4] * 6):
+        assert np.allclose(katz_model.discounts(np.array(flat))[1:-1], [(r - 0.5) / r for r in range(1, 6)])
+
+
 def test_line_dedup(docs, no_docs, pairs):
     kept = line_runs.dedup_lines(docs)
     got = sorted((r.doc_id, r._n_lines, r._n_dropped, brute.sha(r.text or "")) for r in kept.collect())
