@@ -3,13 +3,16 @@
 P(w) of a known word is its discounted count over all training tokens; what the discounts leave is the probability
 of an unknown word (all unknown words are one class). P(w | v) of a seen pair is its discounted count over the count
 of v; an unseen one backs off to weight(v) P(w), where weight(v) makes the probabilities after v sum to one. A
-context whose pairs are all beyond the discounted counts keeps 1 / (count + 1) for what is unseen.
+context whose pairs are all beyond the discounted counts keeps 1 / (count + 1) for what is unseen. With order three,
+P(w | u v) is the same one level up: discounted counts of triples over the count of the pair (u, v), and weight(u v)
+P(w | v) for what is unseen, down to the words if need be. The first token of a text has one start before it and so
+is scored as a pair.
 
-Counts are never all in one place. Texts stand in a table bucketed by block; a block sends its distinct words and
-word pairs with their training counts to hash buckets and gets back the totals (stored, partitioned by bucket), and
-one block is asked to stand for each seen pair. These sum, by context, the probabilities of the pairs they stand
-for, and a second exchange turns the sums into weights. Then every block evaluates its tokens. A frequent word or
-pair is one entry per block.
+Counts are never all in one place. Texts stand in a table bucketed by block; a block sends its distinct words, pairs
+and triples with their training counts to hash buckets and gets back the totals (stored as one packed answer per
+block, bucket and order), and one block is asked to stand for each seen pair and triple. These sum, by context, the
+probabilities of what they stand for, and a second exchange turns the sums into weights; pairs that only one block
+has are summed there. Then every block evaluates its tokens. A frequent word, pair or triple is one entry per block.
 
 Defined cases: a null or empty text is the end token alone; without training texts every word is unknown with
 probability one; repeated rows count as often as they stand there; a null id counts like an empty one for the split;
@@ -33,7 +36,8 @@ from impactframe.llm.tables import Scratch, fold, read
 
 #: Counts above this one are not discounted.
 DISCOUNTED = 5
-WORDS, PAIRS, SUMS, TOTALS = 1, 2, 3, 4
+#: Sums are by context, of pairs after a word and of triples after a pair.
+WORDS, PAIRS, TRIPLES, SUMS, PAIR_SUMS, TOTALS = 1, 2, 3, 4, 5, 6
 #: Stand for the end of a text and, as a context only, for its start.
 END, START = np.uint64(0x8F2D1A6B3C4E5F71), np.uint64(0x1B5E9D3A7C8F2E46)
 
@@ -42,7 +46,7 @@ _ANSWER = "block long, bucket int, kind int, a binary, b binary"
 
 @dataclass
 class Tokens:
-    """The tokens of one block's texts, as numbers of its distinct words and pairs; START is the last word."""
+    """The tokens of one block's texts, as numbers of its distinct words, pairs and triples; START is the last word."""
 
     ids: list
     owner: np.ndarray
@@ -54,9 +58,16 @@ class Tokens:
     #: Of the distinct pairs.
     pair_word: np.ndarray
     pair_context: np.ndarray
+    #: Of the tokens that are not the first of their text: their places and triples. Without order three, none.
+    later: np.ndarray
+    triple: np.ndarray
+    triples: np.ndarray
+    #: Of the distinct triples: the pair before the word, and the pair that ends in it.
+    triple_context: np.ndarray
+    triple_pair: np.ndarray
 
 
-def tokens(row: dict) -> Tokens:
+def tokens(row: dict, order: int) -> Tokens:
     block, ids = unpack(row)
     data = tb.lower_ascii(block.data)
     starts, ends = block.spans(tb.WORD[data])
@@ -70,14 +81,20 @@ def tokens(row: dict) -> Tokens:
     context[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))] = word[-1]
     keys = tb.mix(words[context] * np.uint64(0x9E3779B97F4A7C15) + h)
     pairs, first, pair = tb.factorize(keys)
-    return Tokens(ids, owner, word[:-1], context, words, pair, pairs, word[first], context[first])
+    later = np.flatnonzero(owner[1:] == owner[:-1]) + 1 if order == 3 else np.empty(0, dtype=np.int64)
+    keys = tb.mix(pairs[pair[later - 1]] * np.uint64(0x9E3779B97F4A7C15) + h[later])
+    triples, at, triple = tb.factorize(keys)
+    return Tokens(
+        ids, owner, word[:-1], context, words, pair, pairs, word[first], context[first],
+        later, triple, triples, pair[later[at] - 1], pair[later[at]],
+    )
 
 
-def _send_counts(buckets: int, held_out):
+def _send_counts(buckets: int, order: int, held_out):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                t = tokens(row)
+                t = tokens(row, order)
                 learn = ~held_out(t.ids)[t.owner]
                 counts = np.bincount(t.word[learn], minlength=len(t.words))
                 # The start is counted as a context: once for each training text.
@@ -85,22 +102,26 @@ def _send_counts(buckets: int, held_out):
                 yield from send(row["block"], t.words, buckets, {"keys": t.words, "counts": counts.astype(np.int32)}, WORDS).to_batches()
                 counts = np.bincount(t.pair[learn], minlength=len(t.pairs)).astype(np.int32)
                 yield from send(row["block"], t.pairs, buckets, {"keys": t.pairs, "counts": counts}, PAIRS).to_batches()
+                counts = np.bincount(t.triple[learn[t.later]], minlength=len(t.triples)).astype(np.int32)
+                yield from send(row["block"], t.triples, buckets, {"keys": t.triples, "counts": counts}, TRIPLES).to_batches()
 
     return run
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of one bucket and kind: totals for the senders, aligned with what they sent, and counts of counts."""
+    """Of one bucket and kind: totals for the senders, aligned with what they sent, and counts of counts. The lowest
+    bit of an answer says that the sender stands for the key, the next one that it is the only sender."""
     kind = table["kind"][0].as_py()
     sender, got = gather(table, keys=np.uint64, counts=np.int32)
     distinct, first, number = tb.factorize(got["keys"])
     totals = np.bincount(number, weights=got["counts"], minlength=len(distinct)).astype(np.int64)
+    alone = np.bincount(number, minlength=len(distinct))[number] == 1
     stands = np.zeros(len(number), dtype=np.int64)
-    if kind == PAIRS:
-        # The first sender that saw the pair in training stands for it.
+    if kind != WORDS:
+        # The first sender that saw the key in training stands for it.
         seen = np.flatnonzero(got["counts"] > 0)
         stands[seen[np.unique(number[seen], return_index=True)[1]]] = 1
-    values = np.split(totals[number] * 2 + stands, np.searchsorted(sender, np.arange(1, table.num_rows)))
+    values = np.split(totals[number] * 4 + alone * 2 + stands, np.searchsorted(sender, np.arange(1, table.num_rows)))
     counted = totals[distinct != START] if kind == WORDS else totals
     counted = counted[counted > 0]
     of_counts = np.bincount(np.minimum(counted, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
@@ -147,11 +168,14 @@ def discounts(of_counts: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """Numbers of the whole corpus, from the tokens, the distinct words and pairs, and the counts of their counts."""
+    """Numbers of the whole corpus, from the tokens, the distinct words, and the counts of counts by order."""
 
-    def __init__(self, tokens: int, words: int, words_of_count: np.ndarray, pairs_of_count: np.ndarray):
+    def __init__(
+        self, tokens: int, words: int, words_of_count: np.ndarray, pairs_of_count: np.ndarray, triples_of_count: np.ndarray | None = None
+    ):
         self.tokens, self.words = tokens, words
         self.word_factors, self.pair_factors = discounts(words_of_count), discounts(pairs_of_count)
+        self.triple_factors = self.pair_factors if triples_of_count is None else discounts(triples_of_count)
         r = np.arange(1, DISCOUNTED + 1)
         left = float(((1 - self.word_factors[1:-1]) * r * words_of_count[:DISCOUNTED]).sum())
         self.unknown = left / max(1, tokens)
@@ -167,6 +191,9 @@ class Totals:
     def pair_probability(self, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         return self.pair_factors[np.minimum(counts, DISCOUNTED + 1)] * counts / np.maximum(contexts, 1)
 
+    def triple_probability(self, counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return self.triple_factors[np.minimum(counts, DISCOUNTED + 1)] * counts / np.maximum(contexts, 1)
+
 
 def _answer(answers: list[dict], kind: int, column: str, keys: np.ndarray, dtype, buckets: int) -> np.ndarray:
     """The answers of all buckets in the order of ``keys``."""
@@ -177,23 +204,63 @@ def _answer(answers: list[dict], kind: int, column: str, keys: np.ndarray, dtype
     return out
 
 
-def _counts(t: Tokens, answers: list[dict], buckets: int):
-    words = _answer(answers, WORDS, "a", t.words, np.int64, buckets) // 2
-    pairs = _answer(answers, PAIRS, "a", t.pairs, np.int64, buckets)
-    return words, pairs // 2, pairs % 2 == 1
+@dataclass
+class Counts:
+    """What the buckets said of a block's distinct words, pairs and triples."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    triples: np.ndarray
+    #: The pairs and triples that the block stands for.
+    own_pairs: np.ndarray
+    own_triples: np.ndarray
+    #: The pairs seen in training whose triples other blocks may have too.
+    shared: np.ndarray
+
+
+def _counts(t: Tokens, answers: list[dict], buckets: int) -> Counts:
+    words, pairs, triples = (
+        _answer(answers, kind, "a", keys, np.int64, buckets) for kind, keys in ((WORDS, t.words), (PAIRS, t.pairs), (TRIPLES, t.triples))
+    )
+    # Nothing comes after the end.
+    inner = t.words[t.pair_word] != END if len(t.triples) else np.zeros(len(t.pairs), dtype=bool)
+    shared = np.flatnonzero(inner & (pairs // 4 > 0) & (pairs & 2 == 0))
+    return Counts(words // 4, pairs // 4, triples // 4, np.flatnonzero(pairs & 1), np.flatnonzero(triples & 1), shared)
+
+
+def _sum(numbers: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """bincount with weights, which of nothing gives integers."""
+    return np.bincount(numbers, weights=values, minlength=n).astype(np.float64)
+
+
+def _pair_sums(t: Tokens, counts: Counts, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """By word, over the pairs after it that the block stands for: their probabilities, and those of their words."""
+    of, context = counts.own_pairs, t.pair_context[counts.own_pairs]
+    seen = totals.pair_probability(counts.pairs[of], counts.words[context])
+    lower = totals.word_probability(counts.words[t.pair_word[of]])
+    return _sum(context, seen, len(t.words)), _sum(context, lower, len(t.words))
+
+
+def _triple_sums(t: Tokens, counts: Counts, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """The same by pair, over triples; the pairs that end them without the factor of their context."""
+    of, context = counts.own_triples, t.triple_context[counts.own_triples]
+    seen = totals.triple_probability(counts.triples[of], counts.pairs[context])
+    lower = totals.pair_probability(counts.pairs[t.triple_pair[of]], counts.words[t.pair_word[context]])
+    return _sum(context, seen, len(t.pairs)), _sum(context, lower, len(t.pairs))
 
 
-def _send_sums(buckets: int, totals: Totals):
+def _send_sums(buckets: int, order: int, totals: Totals):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return nothing_sent("keys", "seen", "lower")
         row = table.to_pylist()[0]
-        t = tokens(row)
-        words, pairs, stands = _counts(t, answers.to_pylist(), buckets)
-        of, context = np.flatnonzero(stands), t.pair_context[stands]
-        seen = np.bincount(context, weights=totals.pair_probability(pairs[of], words[context]), minlength=len(t.words))
-        lower = np.bincount(context, weights=totals.word_probability(words[t.pair_word[of]]), minlength=len(t.words))
-        return send(row["block"], t.words, buckets, {"keys": t.words, "seen": seen, "lower": lower}, SUMS)
+        t = tokens(row, order)
+        counts = _counts(t, answers.to_pylist(), buckets)
+        seen, lower = _pair_sums(t, counts, totals)
+        of_words = send(row["block"], t.words, buckets, {"keys": t.words, "seen": seen, "lower": lower}, SUMS)
+        keys, (seen, lower) = t.pairs[counts.shared], (x[counts.shared] for x in _triple_sums(t, counts, totals))
+        of_pairs = send(row["block"], keys, buckets, {"keys": keys, "seen": seen, "lower": lower}, PAIR_SUMS)
+        return pa.concat_tables([of_words, of_pairs])
 
     return run
 
@@ -223,17 +290,29 @@ def weights(seen: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> tuple[np
     return factor, np.where(counts > 0, (1 - factor * seen) / rest, 1.0)
 
 
-def _evaluate(buckets: int, totals: Totals):
+def _evaluate(buckets: int, order: int, totals: Totals):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _NO_SCORES
-        t, got = tokens(table.to_pylist()[0]), answers.to_pylist()
-        words, pairs, _ = _counts(t, got, buckets)
+        t, got = tokens(table.to_pylist()[0], order), answers.to_pylist()
+        counts = _counts(t, got, buckets)
+        words, pairs, triples = counts.words, counts.pairs, counts.triples
         seen, lower = (_answer(got, SUMS, k, t.words, np.float64, buckets) for k in "ab")
         factor, weight = weights(seen, lower, words)
         alone = totals.word_probability(words)
         context, word = t.pair_context, t.pair_word
-        probability = np.where(pairs > 0, factor[context] * totals.pair_probability(pairs, words[context]), weight[context] * alone[word])
+        of_pairs = np.where(pairs > 0, factor[context] * totals.pair_probability(pairs, words[context]), weight[context] * alone[word])
+        logs = np.log10(of_pairs)[t.pair]
+        if order == 3:
+            seen, lower = _triple_sums(t, counts, totals)
+            for k, sums in zip("ab", (seen, lower), strict=True):
+                sums[counts.shared] = _answer(got, PAIR_SUMS, k, t.pairs[counts.shared], np.float64, buckets)
+            factor, weight = weights(seen, lower * factor[word], pairs)
+            context = t.triple_context
+            of_triples = np.where(
+                triples > 0, factor[context] * totals.triple_probability(triples, pairs[context]), weight[context] * of_pairs[t.triple_pair]
+            )
+            logs[t.later] = np.log10(of_triples)[t.triple]
         n = len(t.ids)
         base = np.log10((words + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))
         # The start is a context, never a token.
@@ -243,7 +322,7 @@ def _evaluate(buckets: int, totals: Totals):
                 "n_tokens": pa.array(np.bincount(t.owner, minlength=n), pa.int64()),
                 "n_known": pa.array(np.bincount(t.owner, weights=words[t.word] > 0, minlength=n).astype(np.int64)),
                 "base_score": pa.array(np.bincount(t.owner, weights=base[t.word], minlength=n)),
-                "score": pa.array(np.bincount(t.owner, weights=np.log10(probability)[t.pair], minlength=n)),
+                "score": pa.array(np.bincount(t.owner, weights=logs, minlength=n)),
             }
         )
 
@@ -259,32 +338,35 @@ def held_out_ids(ids: list, parts: int = 5, part: int = 1) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % parts == part for i in ids], dtype=bool)
 
 
-def katz_scores(docs: DataFrame, held_out=held_out_ids) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for the rows of ``docs`` (doc_id, text)."""
+def katz_scores(docs: DataFrame, held_out=held_out_ids, order: int = 2) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for the rows of ``docs`` (doc_id, text), by a
+    model of order two or three."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = pack(docs, scratch, buckets)
-    sent = blocks.mapInArrow(_send_counts(buckets, held_out), sent_schema("keys", "counts"))
+    sent = blocks.mapInArrow(_send_counts(buckets, order, held_out), sent_schema("keys", "counts"))
     counted = scratch.write(sent.groupBy("bucket", "kind").applyInArrow(_count, _ANSWER))
     # A row per bucket and kind, each of a few numbers.
-    sums = {WORDS: np.zeros(DISCOUNTED + 3, np.int64), PAIRS: np.zeros(DISCOUNTED + 3, np.int64)}
+    sums = {kind: np.zeros(DISCOUNTED + 3, np.int64) for kind in (WORDS, PAIRS, TRIPLES)}
     for r in counted.where(F.col("block") == -1).select("kind", "a").collect():
         sums[r["kind"] - TOTALS] += np.frombuffer(r["a"], np.int64)
     n, v, *of_words = sums[WORDS].tolist()
-    totals = Totals(n, v, np.array(of_words), sums[PAIRS][2:])
+    totals = Totals(n, v, np.array(of_words), sums[PAIRS][2:], sums[TRIPLES][2:])
     counted = counted.where(F.col("block") >= 0)
 
     def answered(answers: DataFrame, step, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(step, schema)
 
-    sums_sent = answered(counted, _send_sums(buckets, totals), sent_schema("keys", "seen", "lower"))
-    added = sums_sent.groupBy("bucket").applyInArrow(_add_sums, _ANSWER)
-    scored = answered(counted.union(added), _evaluate(buckets, totals), _SCORES)
+    sums_sent = answered(counted, _send_sums(buckets, order, totals), sent_schema("keys", "seen", "lower"))
+    added = sums_sent.groupBy("bucket", "kind").applyInArrow(_add_sums, _ANSWER)
+    scored = answered(counted.union(added), _evaluate(buckets, order, totals), _SCORES)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op4_katz_model(spark: SparkSession, folder: str) -> DataFrame:
-    scored = katz_scores(read(spark, folder, "documents"))
+    scored = katz_scores(read(spark, folder, "documents"), order=3)
     held_out = (fold("doc_id", 5) == 1).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -129,6 +129,54 @@ def test_katz_discounts_of_a_power_law():
         assert np.allclose(katz_model.discounts(np.array(flat))[1:-1], [(r - 0.5) / r for r in range(1, 6)])
 
 
+def test_katz_model_of_order_three(spark, docs, no_docs, pairs):
+    token_lists = [(d, [*brute.words(t), None]) for d, t in pairs]
+    counts = [Counter(), Counter(), Counter()]
+    for d, w in token_lists:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for k, counter in enumerate(counts):
+                counter.update(zip(*([0, *w][max(0, 1 - k) + i :] for i in range(k + 1))))
+    single, n = counts[0], sum(counts[0].values())
+    totals = katz_model.Totals(n, len(single), *(np.array([sum(x == r for x in c.values()) for r in range(1, 7)]) for c in counts))
+    factors = [totals.word_factors, totals.pair_factors, totals.triple_factors]
+    after = [{}, {}, {}]
+    for k in (1, 2):
+        for gram in counts[k]:
+            after[k].setdefault(gram[:-1], []).append(gram[-1])
+    cache = {}
+
+    def p(*gram):
+        """Of the last word after the others."""
+        if gram not in cache:
+            cache[gram] = probability(*gram)
+        return cache[gram]
+
+    def probability(*gram):
+        k, context = len(gram) - 1, gram[:-1]
+        if not k:
+            return factors[0][min(single[gram], 6)] * single[gram] / n if single[gram] else totals.unknown
+        follow = after[k].get(context, [])
+        size = sum(counts[k][*context, w] for w in follow)
+        if not size:
+            return p(*gram[1:])
+        share = {w: factors[k][min(c := counts[k][*context, w], 6)] * c / size for w in follow}
+        scale = size / (size + 1) if 1 - sum(share.values()) < 1e-9 else 1
+        if gram[-1] in share:
+            return scale * share[gram[-1]]
+        return (1 - scale * sum(share.values())) / (1 - sum(p(*gram[1:-1], w) for w in follow)) * p(*gram[1:])
+
+    for context in [*list(after[2])[:20], (0, "never seen"), ("never", "seen")]:
+        assert abs(sum(p(*context, *w) for w in single) + p(*context, "never seen") - 1) < 1e-9
+    # One block, where nothing is shared, and one for each text or two.
+    for parts in (1, 40):
+        got = {r.doc_id: r for r in katz_model.katz_scores(docs.repartition(parts), order=3).collect()}
+        for d, w in token_lists:
+            s = [0, *w]
+            expected = math.log10(p(0, w[0])) + sum(math.log10(p(*s[i : i + 3])) for i in range(len(s) - 2))
+            assert abs(got[d].score - expected) < 1e-6 and got[d].n_tokens == len(w)
+    assert katz_model.katz_scores(no_docs, order=3).count() == 0
+
+
 def test_line_dedup(docs, no_docs, pairs):
     kept = line_runs.dedup_lines(docs)
     got = sorted((r.doc_id, r._n_lines, r._n_dropped, brute.sha(r.text or "")) for r in kept.collect())
