@@ -42,8 +42,8 @@ STEPS = 6
 KEPT_SHARE = 0.75
 #: The median of the chi-square distribution with five degrees of freedom.
 MEDIAN_DISTANCE = 4.3515
-#: Squared distance; of vectors of five independent normal statistics about one in a million is farther.
-CUT = 36.0
+#: Squared distance; of vectors of five independent normal statistics about one in 68,000 is farther.
+CUT = 30.0
 #: Least standard deviations of the five statistics.
 FLOORS = (0.5, 0.3, 0.05, 0.12, 0.12)
 

@@ -66,6 +66,22 @@ def test_base_statistics_and_outliers(spark, docs, no_docs, pairs):
     assert all(kept[i] for i, _ in clean) and not any(kept[i] for i, _ in odd)
 
 
+def test_outlier_cut(spark):
+    # The share of chi-square with five degrees of freedom beyond the cut is what the module says.
+    x = robust_quality.CUT
+    beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    assert 1 / 70_000 < beyond < 1 / 65_000
+    rng = random.Random(2)
+    clean = [(i, " ".join(f"word{rng.randrange(10**6)}" for _ in range(rng.randint(60, 120)))) for i in range(300)]
+    # More and more symbols, so that some texts are just beyond the cut.
+    junk = [(1000 + k, clean[k][1] + " " + "#" * k) for k in range(120)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in clean + junk], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in robust_quality.judge(table).collect()}
+    edge = [r for r in got.values() if 30 < r._distance <= 36]
+    assert edge and not any(r._kept for r in edge)
+    assert all(got[i]._kept for i, _ in clean)
+
+
 def test_katz_model(docs, no_docs, pairs):
     got = {r.doc_id: r for r in katz_model.katz_scores(docs).collect()}
     token_lists = [(d, [*brute.words(t), None]) for d, t in pairs]
