@@ -27,10 +27,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays, once; a null id is an id like others."""
-    groups = ngram_jaccard.jaccard_components(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of every group of near copies the document with the smallest id (null first) stays, once. Rows are told apart
+    by id and text, so an id that different texts share, or null, collapses nothing; ties go by hashes of the row."""
+    keyed = docs.withColumns({"_key": F.xxhash64("doc_id", "text"), "_order": F.xxhash64(*docs.columns)})
+    groups = ngram_jaccard.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    rows = keyed.select("_key", "_order", "doc_id").distinct().join(groups, "_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key", "_order")).alias("_first"))
+    kept = keyed.join(first.select("_first._key", "_first._order"), ["_key", "_order"], "left_semi")
+    return kept.dropDuplicates(["_key", "_order"]).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def test_run_equals_plain_stages(spark, folder):
     assert sorted((r.doc_id, list(r.ids), r.decoded_sha256) for r in got) == expected
 
 
+def test_only_similar_texts_are_duplicates(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(1)), (7, text(2)), (7, text(3)), (None, "short"), (None, "brief")]
+    # Copies: of another id, of the same row, of a null id, and of one of the texts under id 7.
+    copies = [(9, text(4)), (8, text(4)), (8, text(4)), (3, text(0)), (5, text(3) + " more")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows + copies], "doc_id long, text string, lang string")
+    expected = {(None, text(0)), (None, text(1)), (7, text(2)), (5, text(3) + " more"), (None, "short"), (None, "brief"), (8, text(4))}
+    for parts in (1, 5):
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.duplicate_stage(spark, docs.repartition(parts), "").collect()]
+        assert len(got) == len(expected) and set(got) == expected
+
+
 def test_stages_keep_the_columns_and_bear_no_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < -1")
     for _, stage in corpus_pipeline.STAGES[:-1]:
