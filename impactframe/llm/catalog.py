@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, ngram_jaccard
-from impactframe.llm import random_indexing, robust_quality, suffix_dedup, token_records
+from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, merkle_manifest
+from impactframe.llm import ngram_jaccard, random_indexing, rank_array_bpe, robust_quality, suffix_dedup
+from impactframe.llm import token_records, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,8 +17,12 @@ QUERIES = {
     "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_language_id": codeword_language.op9_language_id,
     "op10_quality_classifier": random_indexing.op10_quality_classifier,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_rank_array_bpe": rank_array_bpe.op13_rank_array_bpe,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_line_dedup": line_runs.OP5_SQL,
+    "op11_merkle_manifest": merkle_manifest.OP11_SQL,
 }
