@@ -172,14 +172,15 @@ def _levels(n: Column, r: int) -> Column:
 
 
 def descend(forest: Forest, tops: DataFrame, requests: DataFrame, scratch: Scratch) -> DataFrame:
-    """From ``tops`` (tree, n, digest, path) down to the records just above the requested leaves (tree, rank):
+    """From the ``tops`` (tree, n, digest, path) of the requested trees down to the records just above the requested leaves (tree, rank):
     (tree, rank, n, digest, path, height, children), where rank is that of the leaves without the last digit."""
     below = None
     for r in range(len(forest.rounds) - 1, -1, -1):
         begun = tops.where(_levels(F.col("n"), r)).select("tree", F.lit(0).cast("long").alias("rank"), "n", "digest", "path")
-        nodes = begun if below is None else begun.unionByName(below)
-        wanted = requests.select("tree", F.shiftright("rank", DIGIT_BITS * (r + 1)).alias("rank")).distinct()
-        nodes = nodes.join(wanted, ["tree", "rank"], "left_semi")
+        nodes = begun
+        if below is not None:
+            wanted = requests.select("tree", F.shiftright("rank", DIGIT_BITS * (r + 1)).alias("rank")).distinct()
+            nodes = begun.unionByName(below.join(wanted, ["tree", "rank"], "left_semi"))
         found = nodes.join(forest.rounds[r], "digest", "left").select("tree", "rank", "n", "digest", "path", "height", "children")
         if r == 0:
             return found
@@ -252,7 +253,7 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     start = manifest.top.tops.withColumn("path", F.lit(b""))
     asked = requests.select(zero, F.col("tree").alias("rank")).distinct()
     above = descend(manifest.top, start, asked, scratch).mapInArrow(_expand, _NODE)
-    subroots = above.select(F.col("rank").alias("tree"), "digest", "path")
+    subroots = above.select(F.col("rank").alias("tree"), "digest", "path").join(asked.select(F.col("rank").alias("tree")), "tree", "left_semi")
     tops = scratch.write(manifest.trees.select("tree", "n").join(subroots, "tree"))
     records = descend(manifest.languages, tops, requests.select("tree", "rank"), scratch)
     left = requests.withColumn("_digit", _prefix()).groupBy("tree", "_digit")
