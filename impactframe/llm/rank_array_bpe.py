@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -66,7 +66,7 @@ class Vocabulary:
         letters = self.letters()
         self.first = np.array([ids[letters[b]] for b in range(256)], dtype=np.int64)
         self.last = np.array([ids[letters[b] + ending] for b in range(256)], dtype=np.int64)
-        self.tokenizer = Tokenizer.from_buffer(content)
+        self.content = content
         self.bytes_of = {letter: b for b, letter in enumerate(letters)}
         special = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.special = special
@@ -83,6 +83,11 @@ class Vocabulary:
         self.numbers = _Strings([f"{i} ".encode() for i in range(self.n)])
         self.common = _common()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """For the rules on uncommon characters only."""
+        return Tokenizer.from_buffer(self.content)
+
     @staticmethod
     def letters() -> list[str]:
         """The letter that stands for each byte in the vocabulary: itself if it shows, else one from 256 on."""
@@ -307,8 +312,8 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary_of(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = [v.texts.join(np.frombuffer(x or b"", "<u4")).decode() for x in part.column("ids").to_pylist()]
                 yield _with(part, decoded=pa.array(texts, pa.string()))
 
