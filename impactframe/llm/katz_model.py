@@ -73,7 +73,7 @@ def tokens(row: dict, order: int) -> Tokens:
     starts, ends = block.spans(tb.WORD[data])
     owner = block.owner(starts)
     at = np.searchsorted(owner, np.arange(len(block)), side="right")
-    h = np.insert(tb.span_hash(tb.prefix_sums(data, 1), starts, ends), at, END)
+    h = np.insert(tb.span_hash(data, starts, ends, 1), at, END)
     owner = np.insert(owner, at, np.arange(len(block)))
     words, _, word = tb.factorize(np.append(h, START))
     context = np.empty(len(h), dtype=np.int64)

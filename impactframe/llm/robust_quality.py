@@ -71,8 +71,7 @@ def counts(block: tb.Block) -> dict[str, np.ndarray]:
     starts, ends = block.spans(inside)
     owner = block.owner(starts)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    sums = tb.prefix_sums(data, 1)
-    h = tb.span_hash(sums, starts, ends)
+    h = tb.span_hash(data, starts, ends, 1)
     symbol = np.zeros(256, dtype=bool)
     symbol[[ord(c) for c in SYMBOLS]] = True
 
@@ -89,7 +88,7 @@ def counts(block: tb.Block) -> dict[str, np.ndarray]:
     l_starts, l_ends, l_owner = line_spans(block)
     words_before = np.concatenate([[0], np.cumsum(inside)])
     solid = np.flatnonzero(words_before[l_ends] > words_before[l_starts])
-    lines = tb.mix(tb.span_hash(sums, l_starts[solid], l_ends[solid]) + tb.mix(l_owner[solid].astype(np.uint64)))
+    lines = tb.mix(tb.span_hash(data, l_starts[solid], l_ends[solid], 1) + tb.mix(l_owner[solid].astype(np.uint64)))
     earlier, _ = _again(lines)
     return {
         "n_words": block.counts(owner),

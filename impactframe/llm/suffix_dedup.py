@@ -39,8 +39,9 @@ LENGTH = 100
 SEED = 52
 NO_ID = -(2**63)
 
-_PLACE_BITS = np.uint64(28)
-_PLACE = np.uint64((1 << 28) - 1)
+#: Bits of a place in its block; the other 28 bits hold the hash that a place is chosen by.
+_PLACE_BITS = np.uint64(36)
+_PLACE = np.uint64((1 << 36) - 1)
 
 
 @dataclass
@@ -52,22 +53,23 @@ class Runs:
     last: np.ndarray
     place: np.ndarray
     sums: np.ndarray
+    data: np.ndarray
 
     def seeds(self) -> np.ndarray:
-        return tb.span_hash(self.sums, self.place, self.place + SEED)
+        return tb.rolling_hash(self.sums, self.place, self.place + SEED)
 
     def spans(self, rows: np.ndarray) -> np.ndarray:
-        whole = tb.span_hash(self.sums, self.first[rows], self.last[rows] + LENGTH)
+        whole = tb.span_hash(self.data, self.first[rows], self.last[rows] + LENGTH, 22)
         return tb.mix(whole + (self.place[rows] - self.first[rows]).astype(np.uint64))
 
 
 def runs(block: tb.Block) -> Runs:
     n = len(block.data)
-    sums = tb.prefix_sums(block.data, 21)
+    sums = tb.rolling_sums(block.data, 21)
     empty = np.empty(0, np.int64)
     if n < LENGTH:
-        return Runs(empty, empty, empty, empty, sums)
-    seeds = tb.span_hash(sums, np.arange(n - SEED + 1), np.arange(SEED, n + 1))
+        return Runs(empty, empty, empty, empty, sums, block.data)
+    seeds = tb.rolling_hash(sums, np.arange(n - SEED + 1), np.arange(SEED, n + 1))
     least = (seeds >> _PLACE_BITS) << _PLACE_BITS | np.arange(len(seeds), dtype=np.uint64)
     # The least of each LENGTH - SEED + 1 neighbours, by doubling.
     width, size = LENGTH - SEED + 1, 1
@@ -82,7 +84,7 @@ def runs(block: tb.Block) -> Runs:
     place, owner = place[windows], owner[windows]
     begins = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))) if len(place) else empty
     ends = np.append(begins[1:], len(place)) - 1 if len(place) else empty
-    return Runs(owner[begins], windows[begins], windows[ends], place[begins], sums)
+    return Runs(owner[begins], windows[begins], windows[ends], place[begins], sums, block.data)
 
 
 def _read(table: pa.Table) -> tuple[int, tb.Block, np.ndarray]:
@@ -194,7 +196,7 @@ def _send_windows(buckets: int):
         own = runs(block)
         windows, of = _window_list(own.first[rows], own.last[rows])
         owner = own.owner[rows][of]
-        ranks = tb.span_hash(own.sums, windows, windows + LENGTH)
+        ranks = tb.span_hash(block.data, windows, windows + LENGTH, 23)
         columns = {"rank": ranks, "doc": ids[owner], "place": windows - block.bounds[owner], "number": windows.astype(np.int32)}
         return send(block_number, ranks, buckets, columns)
 

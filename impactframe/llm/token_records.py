@@ -130,14 +130,16 @@ class Words:
 def tokenize(block: tb.Block, words: Words) -> list[np.ndarray]:
     """The ids of each text, as the tokenizer gives them.
 
-    Texts with characters that interact with their neighbours are given to the tokenizer whole.
+    Texts with special tokens, or with characters that interact with their neighbours, are given to the tokenizer whole.
     """
     at, points = code_points(block.data)
-    strange = np.unique(block.owner(at[~_plain()[points]]))
-    lowered = pc.utf8_lower(block.column("text").fill_null(""))
+    given = block.column("text").fill_null("")
+    marked = [pc.match_substring(given, x.content).to_numpy(zero_copy_only=False) for x in words.tokenizer.get_added_tokens_decoder().values()]
+    strange = np.union1d(block.owner(at[~_plain()[points]]), np.flatnonzero(np.logical_or.reduce(marked)))
+    lowered = pc.utf8_lower(given)
     lower = next(tb.blocks([pa.record_batch({"text": lowered})], max_bytes=1 << 62))
     starts, ends, owner = pieces(lower, spaced=False)
-    h = tb.span_hash(tb.prefix_sums(lower.data, 3), starts, ends)
+    h = tb.span_hash(lower.data, starts, ends, 3)
     distinct, first, number = tb.factorize(h)
     row = words.lookup(distinct, lower.data.tobytes(), starts[first], ends[first])[number]
     ids = gather_spans(words.ids, words.starts[row], words.sizes[row])
@@ -228,7 +230,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     # One row per shard: the running sum is over as many rows as there are files.
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = manifest.withColumn("start", F.coalesce(before, F.lit(0)))
-    return shards.repartition("shard").mapInArrow(_read_shard, "doc_id long, start long, ids binary")
+    # A stated number of partitions: adaptive execution would merge the few small rows into one task that reads all.
+    return shards.repartition(max(1, manifest.count()), "shard").mapInArrow(_read_shard, "doc_id long, start long, ids binary")
 
 
 def op6_token_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,6 +33,12 @@ def texts():
     rows += [(150 + i, f"  {line.upper() if i % 2 else line} \n" + prose(rng, 8)) for i in range(5)]
     rows += [(160, None), (161, ""), (162, " \n\t "), (163, "漢字 ÀÉ İstanbul Σας 😀 'll don't \x1c x"), (164, "na " * 400)]
     rows += [(165, "\n".join([passage] * 3)), (166, prose(rng, 6000)), (167, "One two three\u0085four"), (168, "*** $$$ ||| " * 30)]
+    # Patterned words and their mirrors: a polynomial hash modulo 2**64 cannot tell these apart.
+    for i, size in ((170, 1024), (173, 2048), (176, 1000)):
+        pattern = "".join("ab"[k.bit_count() % 2] for k in range(size))
+        mirror = pattern.translate({97: "b", 98: "a"})
+        rows += [(i, pattern), (i + 1, mirror), (i + 2, pattern)]
+    rows += [(179, "One <|endoftext|> two<|startoftext|>THREE <|ENDOFTEXT|>")]
     return rows
 
 
