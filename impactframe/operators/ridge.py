@@ -5,36 +5,29 @@ the away side with weights -w and margin -m. Columns are the intercept, the home
 court, the players (exposure share of the team's minutes, five per side), a team
 effect and an opponent effect. Players, teams and opponents are penalised.
 
-The cross products are summed inside each task over the games it holds, so only
-one small matrix per task and season is shuffled, never the pairs of a game. A
-season's matrix has a row per player and two per team, however many games it has;
-every season is solved in the same way, by one factorisation per setting.
+The cross products are summed inside each task into matrix blocks of a fixed size (`gram`), so the pairs of a game
+are never shuffled, and the systems are solved from these blocks (`block_solve`), whatever their width.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impactframe.functions.scores import PENALTY_MODES, player_penalty
 from impactframe.functions.seasons import season_id
+from impactframe.operators import block_solve, gram
 from impactframe.operators.with_without import game_number, minute_filter, positive_minutes
 from impactframe.schemas import GAME, SEASON, SIDE
 from impactframe.session import keep
 
 LINEUP_WEIGHT = 5.0
-GAMES_PER_SLICE = 20_000
-# Pivots this small against the largest one count as zero.
-SINGULAR = 1e-11
 
 # A regression column is one number: entity id * 8 + kind.
 KINDS = {"intercept": 0, "home_court": 1, "player": 2, "team": 3, "opponent": 4}
-TARGET = -1
+TARGET = gram.TARGET
 
 
 @dataclass(frozen=True)
@@ -174,157 +167,49 @@ def player_exposure(weights: DataFrame) -> DataFrame:
 
 # --- cross products -------------------------------------------------------
 
-_PRODUCT_SCHEMA = "season_id string, code_1 bigint, code_2 bigint, value double"
-
-
-class _SeasonProducts:
-    """Cross products of the games one task has seen of one season."""
-
-    def __init__(self, season: str) -> None:
-        self.season = season
-        self.codes = np.empty(0, dtype=np.int64)
-        self.matrix = np.empty((0, 0))
-        self.target = np.empty(0)
-
-    def _grow(self, codes: np.ndarray) -> np.ndarray:
-        """Positions of ``codes``, after adding those not seen before."""
-        union = np.union1d(self.codes, codes)
-        if len(union) != len(self.codes):
-            old = np.searchsorted(union, self.codes)
-            matrix = np.zeros((len(union), len(union)))
-            matrix[np.ix_(old, old)] = self.matrix
-            target = np.zeros(len(union))
-            target[old] = self.target
-            self.codes, self.matrix, self.target = union, matrix, target
-        return np.searchsorted(self.codes, codes)
-
-    def add(self, pdf: pd.DataFrame) -> None:
-        """Add whole games: one row without a player, and one row per player."""
-        heads = pdf[pdf["player_id"].isna()]
-        lineups = pdf[pdf["player_id"].notna()]
-        row_of = pd.Series(np.arange(len(heads)), index=heads["game_id"].to_numpy())
-        home = heads["home_team_id"].to_numpy(np.int64)
-        away = heads["away_team_id"].to_numpy(np.int64)
-        margin = heads["margin"].to_numpy(float)
-        row = row_of.reindex(lineups["game_id"]).to_numpy(np.int64)
-        weight = lineups["weight"].to_numpy(float)
-        player = lineups["player_id"].to_numpy(np.int64) * 8 + KINDS["player"]
-
-        rows, codes, values = [], [], []
-        every = np.arange(len(heads))
-        # The home rows first, their mirrored away rows below them.
-        for offset, sign, mine, other in ((0, 1.0, home, away), (len(heads), -1.0, away, home)):
-            for code, value in (
-                (np.full(len(heads), KINDS["intercept"]), 1.0),
-                (np.full(len(heads), KINDS["home_court"]), sign),
-                (mine * 8 + KINDS["team"], 1.0),
-                (other * 8 + KINDS["opponent"], 1.0),
-            ):
-                rows.append(every + offset)
-                codes.append(code.astype(np.int64))
-                values.append(np.full(len(heads), value))
-            rows.append(row + offset)
-            codes.append(player)
-            values.append(sign * weight)
-        used, local = np.unique(np.concatenate(codes), return_inverse=True)
-        design = np.zeros((2 * len(heads), len(used)))
-        design[np.concatenate(rows), local] = np.concatenate(values)
-        at = self._grow(used)
-        self.matrix[np.ix_(at, at)] += design.T @ design
-        self.target[at] += design.T @ np.concatenate([margin, -margin])
-
-    def frame(self) -> pd.DataFrame:
-        first, second = np.nonzero(np.triu(self.matrix != 0.0))
-        return pd.DataFrame(
-            {
-                "season_id": self.season,
-                "code_1": np.concatenate([self.codes[first], self.codes]),
-                "code_2": np.concatenate([self.codes[second], np.full(len(self.codes), TARGET)]),
-                "value": np.concatenate([self.matrix[first, second], self.target]),
-            }
-        )
 
+def game_rows(obs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The two mirrored rows of every game in long form: season_id, game_id, mirror (1 home, -1 away), code, x."""
 
-def _sum_products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by season and game; hold one season's products and the last, unfinished game."""
-    products: _SeasonProducts | None = None
-    pending: pd.DataFrame | None = None
-
-    def take(chunk: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        nonlocal products
-        for season, part in chunk.groupby("season_id", sort=True):
-            if products is not None and products.season != season:
-                yield products.frame()
-                products = None
-            if products is None:
-                products = _SeasonProducts(season)
-            # A few hundred games at a time keep the design block small.
-            number = part["game_id"].ne(part["game_id"].shift()).cumsum().to_numpy() // 400
-            for _, block in part.groupby(number):
-                products.add(block)
-
-    for batch in batches:
-        if len(batch) == 0:
-            continue
-        chunk = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
-        last = chunk.iloc[-1]
-        unfinished = (chunk["season_id"] == last["season_id"]) & (chunk["game_id"] == last["game_id"])
-        pending = chunk[unfinished]
-        yield from take(chunk[~unfinished])
-    if pending is not None:
-        yield from take(pending)
-    if products is not None:
-        yield products.frame()
-
-
-def cross_products(obs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Upper triangle of the Gram matrix (code_1 <= code_2) and, under code_2 = -1, the target.
-
-    A season is cut into slices of whole games, more of them the more games it has:
-    enough to spread a large season, few enough that few matrices are shuffled.
-    """
-    # Read for the rows and for the size of each season.
-    obs = keep(obs)
-    heads = obs.select(
-        "season_id",
-        "game_id",
-        "margin",
-        "home_team_id",
-        "away_team_id",
-        F.lit(None).cast("bigint").alias("player_id"),
-        F.lit(None).cast("double").alias("weight"),
-    )
-    lineups = weights.select(
-        "season_id",
-        "game_id",
-        F.lit(None).cast("double").alias("margin"),
-        F.lit(None).cast("bigint").alias("home_team_id"),
-        F.lit(None).cast("bigint").alias("away_team_id"),
-        "player_id",
-        "weight",
-    )
-    slices = obs.groupBy("season_id").agg(
-        F.ceil(F.count("*") / F.lit(GAMES_PER_SLICE)).cast("bigint").alias("slices")
-    )
-    return (
-        heads.unionByName(lineups)
-        .join(slices, "season_id")
-        .withColumn("slice", F.pmod(F.xxhash64("game_id"), F.col("slices")))
-        .drop("slices")
-        .repartition("season_id", "slice")
-        .sortWithinPartitions("season_id", "game_id")
-        .mapInPandas(_sum_products, _PRODUCT_SCHEMA)
-        .groupBy("season_id", "code_1", "code_2")
-        .agg(F.sum("value").alias("value"))
-    )
+    def entry(mirror: int, code: Column, x: Column) -> Column:
+        return F.struct(F.lit(mirror).alias("mirror"), code.alias("code"), x.cast("double").alias("x"))
+
+    def side(mirror: int, own: str, other: str) -> list[Column]:
+        return [
+            entry(mirror, F.lit(TARGET).cast("bigint"), F.col("margin") * mirror),
+            entry(mirror, column_code("intercept"), F.lit(1.0)),
+            entry(mirror, column_code("home_court"), F.lit(mirror)),
+            entry(mirror, column_code("team", F.col(own)), F.lit(1.0)),
+            entry(mirror, column_code("opponent", F.col(other)), F.lit(1.0)),
+        ]
+
+    both = side(1, "home_team_id", "away_team_id") + side(-1, "away_team_id", "home_team_id")
+    heads = obs.select("season_id", "game_id", F.inline(F.array(*both)))
+    player = column_code("player", F.col("player_id"))
+    shares = F.array(*[entry(sign, player, F.col("weight") * sign) for sign in (1, -1)])
+    return heads.unionByName(weights.select("season_id", "game_id", F.inline(shares)))
+
+
+def cross_products(obs: DataFrame, weights: DataFrame, block: int = gram.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(columns, blocks) of the games: every column's place in its season, and the blocks of their cross products."""
+    # Read for the columns, for the size of each season and for the products.
+    rows = keep(game_rows(obs, weights))
+    columns = keep(gram.numbered_columns(rows))
+    return columns, gram.gram_blocks(rows, columns, block)
 
 
 def normal_equations(obs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(Gram matrix upper triangle, target vector) per season."""
-    products = cross_products(obs, weights)
-    gram = products.filter(F.col("code_2") != TARGET)
-    target = products.filter(F.col("code_2") == TARGET).select("season_id", F.col("code_1").alias("code"), "value")
-    return gram, target
+    """(Gram matrix upper triangle, target vector) per season, cell by cell."""
+    columns, blocks = cross_products(obs, weights)
+    cells = gram.cells(blocks)
+    names = columns.select("season_id", "code", "position")
+
+    def named(df: DataFrame, place: str, name: str) -> DataFrame:
+        return df.join(names.withColumnsRenamed({"code": name, "position": place}), ["season_id", place])
+
+    inner = named(named(cells.filter(F.col("second") != TARGET), "first", "code_2"), "second", "code_1")
+    target = named(cells.filter(F.col("second") == TARGET), "first", "code")
+    return inner.select("season_id", "code_1", "code_2", "value"), target.select("season_id", "code", "value")
 
 
 # --- penalties and solve --------------------------------------------------
@@ -354,78 +239,31 @@ def penalties(exposure: DataFrame, settings: list[Setting]) -> DataFrame:
     )
 
 
-_COEFFICIENT_SCHEMA = "season_id string, setting_id int, code bigint, coefficient double"
-
-
-def _solve_system(matrix: np.ndarray, target: np.ndarray) -> np.ndarray | None:
-    """The solution of a symmetric system with non-negative eigenvalues; None if it is singular."""
-    # Columns scaled to a diagonal of one, so that pivots are comparable.
-    size = np.sqrt(np.diag(matrix))
-    if (size <= 0).any():
-        return None
-    scaled = matrix / np.outer(size, size)
-    try:
-        pivots = np.diag(np.linalg.cholesky(scaled)) ** 2
-    except np.linalg.LinAlgError:
-        return None
-    if pivots.min() < SINGULAR:
-        return None
-    solution = np.linalg.solve(scaled, target / size)
-    # One step of refinement.
-    solution += np.linalg.solve(scaled, target / size - scaled @ solution)
-    return solution / size
-
-
-def _solve_season(products: pd.DataFrame, penalty: pd.DataFrame, alphas: list[float]) -> pd.DataFrame:
-    """Solve one season's normal equations under each of the settings."""
-    season = products["season_id"].iloc[0] if len(products) else None
-    is_target = (products["code_2"] == TARGET).to_numpy()
-    target_rows, gram_rows = products[is_target], products[~is_target]
-    codes = np.sort(target_rows["code_1"].to_numpy(np.int64))
-    gram = np.zeros((len(codes), len(codes)))
-    first = np.searchsorted(codes, gram_rows["code_1"].to_numpy(np.int64))
-    second = np.searchsorted(codes, gram_rows["code_2"].to_numpy(np.int64))
-    gram[first, second] = gram_rows["value"]
-    gram[second, first] = gram_rows["value"]
-    target = np.zeros(len(codes))
-    target[np.searchsorted(codes, target_rows["code_1"].to_numpy(np.int64))] = target_rows["value"]
-    results = []
-    for setting, rows in penalty.groupby("setting_id"):
-        diagonal = np.where(codes % 8 > KINDS["home_court"], alphas[setting], 0.0)
-        diagonal[np.searchsorted(codes, rows["code"].to_numpy(np.int64))] = rows["penalty"]
-        solution = _solve_system(gram + np.diag(diagonal), target)
-        if solution is None:
-            raise ValueError(f"the ridge system of season {season} is singular; use a positive alpha")
-        results.append(
-            pd.DataFrame(
-                {"season_id": season, "setting_id": np.int32(setting), "code": codes, "coefficient": solution}
-            )
-        )
-    # A season without an eligible player has no penalty rows and gives no fit.
-    nothing = {"season_id": object, "setting_id": "int32", "code": "int64", "coefficient": float}
-    empty = pd.DataFrame({name: np.empty(0, dtype=kind) for name, kind in nothing.items()})
-    return pd.concat(results, ignore_index=True) if results else empty
+def column_penalties(columns: DataFrame, exposure: DataFrame, settings: list[Setting]) -> DataFrame:
+    """The penalty of every column under every setting: season_id, setting_id, position, penalty.
 
-
-def solve(products: DataFrame, penalty: DataFrame, settings: list[Setting]) -> DataFrame:
-    """Coefficients per season, setting and column. One task per season solves all its settings."""
-    alphas = [s.alpha for s in settings]
-
-    def solve_season(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _solve_season(left, right, alphas)
-
-    return products.groupBy("season_id").cogroup(penalty.groupBy("season_id")).applyInPandas(
-        solve_season, _COEFFICIENT_SCHEMA
+    A season without an eligible player has none and gives no fit.
+    """
+    of_players = penalties(exposure, settings)
+    fitted = of_players.select("season_id", "setting_id").distinct()
+    alphas = F.array(*[F.lit(float(s.alpha)) for s in settings])
+    plain = F.when(F.col("code") % 8 > KINDS["home_court"], F.element_at(alphas, F.col("setting_id") + 1)).otherwise(0.0)
+    every = columns.select("season_id", "code", "position").join(fitted, "season_id")
+    return every.join(of_players, ["season_id", "setting_id", "code"], "left").select(
+        "season_id", F.col("setting_id").cast("int").alias("setting_id"), "position", F.coalesce("penalty", plain).alias("penalty")
     )
 
 
-def fit(obs: DataFrame, weights: DataFrame, settings: list[Setting], *, min_games: int = 1) -> DataFrame:
+def fit(
+    obs: DataFrame, weights: DataFrame, settings: list[Setting], *, min_games: int = 1, block: int = gram.BLOCK
+) -> DataFrame:
     """Coefficients of every column, season and setting: season_id, setting_id, kind, entity_id, coefficient."""
     # Both are read by the products and the penalties.
     obs, weights = keep(obs), keep(weights)
     exposure = eligible(player_exposure(weights), min_games)
     kept = weights.join(exposure.select("season_id", "player_id"), ["season_id", "player_id"], "left_semi")
-    return with_kinds(solve(cross_products(obs, kept), penalties(exposure, settings), settings))
+    columns, blocks = cross_products(obs, kept, block)
+    return with_kinds(block_solve.solve(blocks, columns, column_penalties(columns, exposure, settings), block))
 
 
 def with_kinds(coefficients: DataFrame) -> DataFrame:

@@ -11,12 +11,16 @@ from impactframe.operators import with_without as M
 from impactframe.operators.ranking import average_ranks
 from impactframe.plans.margin_queries import MINUTES, rounded, tables
 from impactframe.plans.reference_sql import WEIGHTS, WITH_WITHOUT, over
+from impactframe.plans.ridge_sql import KIND, RIDGE_ROWS, fitted
 from impactframe.session import keep
 
 TRAIN = ["1995-96", "1996-97", "1997-98"]
 HOLDOUT = "1998-99"
 MODES = [R.Setting(10.0, "uniform"), R.Setting(10.0, "game-count", 1.0), R.Setting(10.0, "minutes", 0.5, 240.0)]
 
+GRID = T.setting_grid([1.0, 3.0, 10.0, 30.0], None, [0.0, 0.5, 1.0], [48.0, 240.0])
+ALPHAS = [1.0, 10.0, 100.0]
+
 
 def _parts(spark, folder):
     games, players = tables(spark, folder)
@@ -101,7 +105,12 @@ def ridge_player_season(spark, folder):
 
 def ridge_leaderboard(spark, folder):
     board = L.leaderboard(R.ridge(*tables(spark, folder), **MINUTES), "ridge", 30)
-    return rounded(board.withColumn("points", F.to_json("points")))
+    return rounded(board.drop("points"))
+
+
+def ridge_points(spark, folder):
+    board = L.leaderboard(R.ridge(*tables(spark, folder), **MINUTES), "ridge", 30)
+    return rounded(L.series_points(board))
 
 
 def ridge_model_terms(spark, folder):
@@ -111,13 +120,12 @@ def ridge_model_terms(spark, folder):
 
 def ridge_tuning(spark, folder):
     obs, weights = _parts(spark, folder)
-    return rounded(T.tune_ridge(obs, weights, [1.0, 10.0, 100.0], min_games=35))
+    return rounded(T.tune_ridge(obs, weights, ALPHAS, min_games=35))
 
 
 def setting_comparison(spark, folder):
     games, players = tables(spark, folder)
-    settings = T.setting_grid([1.0, 3.0, 10.0, 30.0], None, [0.0, 0.5, 1.0], [48.0, 240.0])
-    results = T.compare_settings(games, players, train=TRAIN, holdout=HOLDOUT, settings=settings, **MINUTES)
+    results = T.compare_settings(games, players, train=TRAIN, holdout=HOLDOUT, settings=GRID, **MINUTES)
     return rounded(results)
 
 
@@ -175,6 +183,7 @@ QUERIES = {
     "ridge_residual": ridge_residual,
     "ridge_player_season": ridge_player_season,
     "ridge_leaderboard": ridge_leaderboard,
+    "ridge_points": ridge_points,
     "ridge_model_terms": ridge_model_terms,
     "ridge_tuning": ridge_tuning,
     "setting_comparison": setting_comparison,
@@ -211,6 +220,59 @@ ranked AS (
   FROM shared)"""
 
 
+_RIDGE_BOARD = """
+span AS (SELECT DISTINCT season FROM ridge_rows),
+board AS (
+  SELECT player_id, max(player_name) AS player_name, sum(coefficient) / (SELECT count(*) FROM span) AS span_average_value,
+    sum(total_minutes) / sum(games) AS average_minutes, sum(total_minutes) AS total_minutes,
+    CAST(sum(games) AS BIGINT) AS games, count(*) AS season_count
+  FROM ridge_rows GROUP BY player_id),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY span_average_value DESC, player_name DESC, player_id) AS rank FROM board),
+top AS (SELECT * FROM ranked WHERE rank <= 30)"""
+
+_SPLIT = """
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY game_date, game_id)
+      > count(*) OVER (PARTITION BY season_id)
+        - greatest(1, CAST(floor(count(*) OVER (PARTITION BY season_id) * 0.2::DOUBLE) AS BIGINT)) AS held
+  FROM obs),
+train_obs AS (SELECT * FROM ordered WHERE NOT held),
+train_weights AS (SELECT * FROM weights WHERE game_id IN (SELECT game_id FROM train_obs))"""
+
+_VALIDATION = """
+terms AS (
+  SELECT o.season_id, o.game_id, c.code, 1.0::DOUBLE AS x FROM ordered o,
+    LATERAL (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT)), (o.home_team_id * 8 + 3), (o.away_team_id * 8 + 4)) c(code) WHERE o.held
+  UNION ALL
+  SELECT w.season_id, w.game_id, w.player_id * 8 + 2, w.weight FROM weights w
+  WHERE w.game_id IN (SELECT game_id FROM ordered WHERE held)),
+guessed AS (
+  SELECT t.season_id, t.game_id, f.setting_id, sum(t.x * f.coefficient) AS guess
+  FROM terms t JOIN fitted f ON f.season_id = t.season_id AND f.code = t.code GROUP BY ALL),
+errors AS (
+  SELECT g.season_id, g.setting_id, avg(pow(g.guess - o.margin, 2)) AS mse, count(*) AS n
+  FROM guessed g JOIN obs o ON o.game_id = g.game_id GROUP BY ALL)"""
+
+_COMPARISON = """
+scored AS (
+  SELECT -1 AS setting_id, player_id, max(player_name) AS player_name, avg(value) AS value FROM kept
+  WHERE season IN ('1995-96', '1996-97', '1997-98') GROUP BY player_id
+  UNION ALL
+  SELECT setting_id, player_id, max(player_name), avg(coefficient) FROM ridge_rows GROUP BY setting_id, player_id),
+aimed AS (SELECT player_id, player_name AS target_name, value AS target FROM kept WHERE season = '1998-99'),
+shared AS (SELECT s.*, a.target, a.target_name FROM scored s JOIN aimed a ON a.player_id = s.player_id),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY setting_id ORDER BY value) + (count(*) OVER (PARTITION BY setting_id, value) - 1) / 2.0::DOUBLE AS rx,
+    rank() OVER (PARTITION BY setting_id ORDER BY target) + (count(*) OVER (PARTITION BY setting_id, target) - 1) / 2.0::DOUBLE AS ry,
+    row_number() OVER (PARTITION BY setting_id ORDER BY value DESC, player_name DESC, player_id) AS a,
+    row_number() OVER (PARTITION BY setting_id ORDER BY target DESC, target_name DESC, player_id) AS b
+  FROM shared),
+told AS (
+  SELECT setting_id, 'ridge' AS model, alpha, mode, strength, CASE WHEN mode = 'minutes' THEN scale END AS minute_scale FROM chosen
+  UNION ALL SELECT -1, 'wowy-baseline', NULL, NULL, NULL, NULL)"""
+
+
 def _training_sql(value: str) -> str:
     return over(
         WITH_WITHOUT,
@@ -274,6 +336,67 @@ ORACLES = {
               AND g.game_id IN (SELECT game_id FROM obs)) AS columns, 0.0::DOUBLE AS largest_gap
           FROM exposure e GROUP BY season_id""",
     ),
+    "ridge_coefficients": fitted(
+        settings=MODES,
+        select=f"""SELECT season_id, CAST(setting_id AS INTEGER) AS setting_id, {KIND} AS kind,
+          CASE WHEN code % 8 > 1 THEN code // 8 END AS entity_id, round(coefficient, 6) + 0.0 AS coefficient FROM fitted""",
+    ),
+    "ridge_model_terms": fitted(
+        settings=[R.Setting()],
+        select=f"""SELECT season_id, {KIND} AS kind, CASE WHEN code % 8 > 1 THEN code // 8 END AS entity_id,
+          round(coefficient, 6) + 0.0 AS coefficient FROM fitted WHERE code % 8 <> 2""",
+    ),
+    "ridge_player_season": fitted(
+        RIDGE_ROWS,
+        settings=[R.Setting()],
+        select="""SELECT season_id, season, season_type, player_id, player_name, round(coefficient, 6) + 0.0 AS coefficient,
+          games, round(average_minutes, 6) AS average_minutes, total_minutes FROM ridge_rows""",
+    ),
+    "ridge_leaderboard": fitted(
+        RIDGE_ROWS,
+        _RIDGE_BOARD,
+        settings=[R.Setting()],
+        select="""SELECT rank, player_id, player_name, round(span_average_value, 6) AS span_average_value,
+          round(average_minutes, 6) AS average_minutes, total_minutes, games, season_count FROM top""",
+    ),
+    "ridge_points": fitted(
+        RIDGE_ROWS,
+        _RIDGE_BOARD,
+        settings=[R.Setting()],
+        select="""SELECT t.rank, t.player_id, s.season, round(k.coefficient, 6) + 0.0 AS value
+          FROM top t CROSS JOIN span s LEFT JOIN ridge_rows k ON k.player_id = t.player_id AND k.season = s.season""",
+    ),
+    "ridge_tuning": fitted(
+        _VALIDATION,
+        settings=[R.Setting(a) for a in ALPHAS],
+        games="train_obs",
+        shares="train_weights",
+        before=(_SPLIT,),
+        select="""SELECT e.season_id, CAST(e.setting_id AS INTEGER) AS setting_id, c.alpha, e.n AS validation_games,
+          round(e.mse, 6) AS validation_mse,
+          row_number() OVER (PARTITION BY e.season_id ORDER BY e.mse, e.setting_id) = 1 AS is_best
+          FROM errors e JOIN chosen c ON c.setting_id = e.setting_id""",
+    ),
+    "setting_comparison": fitted(
+        WITH_WITHOUT,
+        RIDGE_ROWS,
+        _COMPARISON,
+        settings=GRID,
+        games="train_obs",
+        shares="train_weights",
+        before=(
+            """
+train_obs AS (SELECT * FROM obs WHERE season IN ('1995-96', '1996-97', '1997-98')),
+train_weights AS (SELECT * FROM weights WHERE game_id IN (SELECT game_id FROM train_obs))""",
+        ),
+        select="""SELECT CAST(t.setting_id AS INTEGER) AS setting_id, t.model, t.alpha, t.mode, t.strength, t.minute_scale,
+          coalesce(n, 0) AS players, round(pearson, 6) + 0.0 AS pearson, round(spearman, 6) + 0.0 AS spearman,
+          coalesce(overlap, 0) AS top_n_overlap
+          FROM told t LEFT JOIN (
+            SELECT setting_id, count(*) AS n, corr(value, target) AS pearson, corr(rx, ry) AS spearman,
+              count(*) FILTER (WHERE a <= 20 AND b <= 20) AS overlap
+            FROM ranked GROUP BY setting_id) r ON r.setting_id = t.setting_id""",
+    ),
     "time_split": over(
         WEIGHTS,
         select="""SELECT season_id, game_id,

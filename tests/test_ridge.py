@@ -6,6 +6,8 @@ from builders import games, players
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from impactframe.operators import block_solve as S
+from impactframe.operators import gram as G
 from impactframe.operators import ridge as R
 from impactframe.operators import tuning as T
 
@@ -60,9 +62,9 @@ def test_narrow_and_wide_systems_alike(players):
     rng = np.random.default_rng(players)
     x = rng.normal(size=(2 * players, players))
     matrix, target = x.T @ x, rng.normal(size=players)
-    assert np.allclose(R._solve_system(matrix, target), np.linalg.solve(matrix, target), rtol=1e-9, atol=1e-12)
+    assert np.allclose(S.solve_system(matrix, target), np.linalg.solve(matrix, target), rtol=1e-9, atol=1e-12)
     x[:, 1] = x[:, 0]
-    assert R._solve_system(x.T @ x, target) is None
+    assert S.solve_system(x.T @ x, target) is None
 
 
 def test_home_term_alone(spark):
@@ -151,10 +153,76 @@ def test_fit_equals_a_dense_solve(spark):
     penalty = np.diag([0, 0] + [3.0] * (len(names) - 2))
     expected = np.linalg.solve(x.T @ x + penalty, x.T @ y)
     obs = R.observations(g, p)
-    got = terms(R.fit(obs, R.exposure_weights(obs, p), [R.Setting(3.0)]))
-    for name, value in zip(names, expected):
-        key = (name, None) if isinstance(name, str) else ("player", name) if isinstance(name, int) else name
-        assert got[key] == pytest.approx(value, abs=1e-8)
+    weights = R.exposure_weights(obs, p)
+    # As one block, and as blocks of which the last one is smaller.
+    for block in (G.BLOCK, 7):
+        got = terms(R.fit(obs, weights, [R.Setting(3.0)], block=block))
+        assert len(got) == len(names)
+        for name, value in zip(names, expected):
+            key = (name, None) if isinstance(name, str) else ("player", name) if isinstance(name, int) else name
+            assert got[key] == pytest.approx(value, abs=1e-9)
+
+
+def entries_of(spark, x, y, season="s"):
+    """The rows of a sparse matrix in long form; the code of a column is its number."""
+    rows = []
+    for r in range(len(x)):
+        rows.append((season, str(r), 1, -1, float(y[r])))
+        rows += [(season, str(r), 1, int(c), float(x[r, c])) for c in np.flatnonzero(x[r])]
+    return spark.createDataFrame(rows, "season_id string, game_id string, mirror int, code long, x double")
+
+
+def test_blocks_of_cross_products(spark):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((120, 23)) < 0.2, rng.normal(size=(120, 23)), 0.0)
+    x[:, 5], x[0] = np.where(np.arange(120) < 3, 1.0, 0.0), 1.0
+    y = rng.normal(size=120)
+    entries = entries_of(spark, x, y)
+    columns = G.numbered_columns(entries)
+    for block in (G.BLOCK, 10, 4):
+        blocks = G.gram_blocks(entries, columns, block)
+        got = {(r.first, r.second): r.value for r in G.cells(blocks, block).collect()}
+        whole = x.T @ x
+        for i in range(23):
+            assert got[i, -1] == pytest.approx(x[:, i] @ y)
+            assert all(got.get((i, j), 0.0) == pytest.approx(whole[i, j]) for j in range(i + 1))
+    # A task sends a block once, however many rows it has read.
+    rows = [G.gram_blocks(e, columns, 10).count() for e in (entries, entries.unionByName(entries.withColumn("game_id", F.concat("game_id", F.lit("b")))))]
+    assert rows[0] == rows[1] == 3 * 4 // 2 + 3
+
+
+def test_many_columns_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    n, wide = 700, 5000
+    # Random sparse rows: 5,000 columns of which each game has a few.
+    rows = [("s", str(g), 1, -1, float(rng.normal())) for g in range(n)]
+    design, target = np.zeros((n, wide)), np.array([r[4] for r in rows])
+    for g in range(n):
+        chosen = np.unique(np.append(rng.choice(wide, 12, replace=False), [(g * 8 + k) % wide for k in range(8)]))
+        values = rng.normal(size=len(chosen))
+        design[g, chosen] = values
+        rows += [("s", str(g), 1, int(c), float(v)) for c, v in zip(chosen, values)]
+    entries = spark.createDataFrame(rows, "season_id string, game_id string, mirror int, code long, x double")
+    columns = G.numbered_columns(entries).persist()
+    assert columns.count() == wide
+    penalties = columns.crossJoin(spark.createDataFrame([(0, 2.0), (1, 30.0)], "setting_id int, penalty double"))
+    solved = S.solve(G.gram_blocks(entries, columns), columns, penalties.select("season_id", "setting_id", "position", "penalty"))
+    got = solved.toPandas().pivot(index="code", columns="setting_id", values="coefficient").loc[range(wide)].to_numpy()
+    for s, alpha in ((0, 2.0), (1, 30.0)):
+        # By the smaller system of the rows.
+        expected = design.T @ np.linalg.solve(design @ design.T + alpha * np.eye(n), target)
+        assert np.abs(got[:, s] - expected).max() < 1e-9
+    columns.unpersist()
+
+
+def test_singular_blocks_are_an_error(spark):
+    x = np.eye(9)[:, [0, 1, 2, 3, 4, 5, 6, 7, 7]]
+    entries = entries_of(spark, x, np.ones(9))
+    columns = G.numbered_columns(entries)
+    penalties = columns.select("season_id", F.lit(0).alias("setting_id"), "position", F.lit(0.0).alias("penalty"))
+    for block in (G.BLOCK, 4):
+        with pytest.raises(PythonException, match="singular"):
+            S.solve(G.gram_blocks(entries, columns, block), columns, penalties, block).collect()
 
 
 def test_weights_sum_to_five_per_side(spark):
