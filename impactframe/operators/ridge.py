@@ -190,19 +190,19 @@ def game_rows(obs: DataFrame, weights: DataFrame) -> DataFrame:
     return heads.unionByName(weights.select("season_id", "game_id", F.inline(shares)))
 
 
-def cross_products(obs: DataFrame, weights: DataFrame, block: int = gram.BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(columns, blocks) of the games: every column's place in its season, and the blocks of their cross products."""
-    # Read for the columns, for the size of each season and for the products.
+def cross_products(obs: DataFrame, weights: DataFrame, block: int = gram.BLOCK) -> tuple[gram.Layout, DataFrame]:
+    """Every column's place in its season, and the blocks of the games' cross products."""
+    # Read for the columns and for the products.
     rows = keep(game_rows(obs, weights))
-    columns = keep(gram.numbered_columns(rows))
-    return columns, gram.gram_blocks(rows, columns, block)
+    places = gram.layout(rows)
+    return places, gram.gram_blocks(rows, places, block)
 
 
 def normal_equations(obs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(Gram matrix upper triangle, target vector) per season, cell by cell."""
-    columns, blocks = cross_products(obs, weights)
+    places, blocks = cross_products(obs, weights)
     cells = gram.cells(blocks)
-    names = columns.select("season_id", "code", "position")
+    names = places.places
 
     def named(df: DataFrame, place: str, name: str) -> DataFrame:
         return df.join(names.withColumnsRenamed({"code": name, "position": place}), ["season_id", place])
@@ -239,18 +239,23 @@ def penalties(exposure: DataFrame, settings: list[Setting]) -> DataFrame:
     )
 
 
-def column_penalties(columns: DataFrame, exposure: DataFrame, settings: list[Setting]) -> DataFrame:
+def column_penalties(places: gram.Layout, exposure: DataFrame, settings: list[Setting]) -> DataFrame:
     """The penalty of every column under every setting: season_id, setting_id, position, penalty.
 
     A season without an eligible player has none and gives no fit.
     """
+    kind = F.col("code") % 8
+    own = F.coalesce("penalty", F.when(kind > KINDS["home_court"], F.col("alpha")).otherwise(0.0)).alias("penalty")
+    options = F.array(
+        *[F.struct(F.lit(i).alias("setting_id"), F.lit(float(s.alpha)).alias("alpha")) for i, s in enumerate(settings)]
+    )
+    every = places.places.filter(F.col("code") != TARGET).select("*", F.inline(options))
     of_players = penalties(exposure, settings)
-    fitted = of_players.select("season_id", "setting_id").distinct()
-    alphas = F.array(*[F.lit(float(s.alpha)) for s in settings])
-    plain = F.when(F.col("code") % 8 > KINDS["home_court"], F.element_at(alphas, F.col("setting_id") + 1)).otherwise(0.0)
-    every = columns.select("season_id", "code", "position").join(fitted, "season_id")
-    return every.join(of_players, ["season_id", "setting_id", "code"], "left").select(
-        "season_id", F.col("setting_id").cast("int").alias("setting_id"), "position", F.coalesce("penalty", plain).alias("penalty")
+    fitted = exposure.select("season_id").distinct()
+    return (
+        every.join(fitted, "season_id", "left_semi")
+        .join(of_players, ["season_id", "setting_id", "code"], "left")
+        .select("season_id", "setting_id", "position", own)
     )
 
 
@@ -260,10 +265,10 @@ def fit(
     """Coefficients of every column, season and setting: season_id, setting_id, kind, entity_id, coefficient."""
     # Both are read by the products and the penalties.
     obs, weights = keep(obs), keep(weights)
-    exposure = eligible(player_exposure(weights), min_games)
+    exposure = keep(eligible(player_exposure(weights), min_games))
     kept = weights.join(exposure.select("season_id", "player_id"), ["season_id", "player_id"], "left_semi")
-    columns, blocks = cross_products(obs, kept, block)
-    return with_kinds(block_solve.solve(blocks, columns, column_penalties(columns, exposure, settings), block))
+    places, blocks = cross_products(obs, kept, block)
+    return with_kinds(block_solve.solve(blocks, places, column_penalties(places, exposure, settings), block))
 
 
 def with_kinds(coefficients: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impactframe.functions.keys import cache_key, parse_key
+from impactframe.functions.keys import cache_key, key_seasons, key_teams, parse_key
 from impactframe.functions.seasons import parse_season_id, season_text, type_text
 from impactframe.operators import quality, ridge, scopes, usage, with_without
 from impactframe.operators.leaderboard import leaderboard
@@ -107,6 +107,20 @@ def current_fingerprint(store: Store, query: MetricQuery) -> str | None:
     return row["source_fingerprint"] if row else None
 
 
+def entry_fingerprints(entries: DataFrame, loads: DataFrame) -> DataFrame:
+    """The current digest of the load rows that every cache entry depends on, all entries in one plan.
+
+    A key that cannot be parsed, or without load rows, has none.
+    """
+    by = ["metric_id", "metric_cache_key"]
+    key = F.col("metric_cache_key")
+    seasons = entries.select(*by, key_teams(key).alias("_teams"), F.explode(key_seasons(key)).alias("_season_id")).distinct()
+    identity = scopes.season_id(F.col("season"), F.col("season_type"))
+    rows = seasons.join(loads.withColumn("_season_id", identity), "_season_id")
+    wanted = (F.size("_teams") == 0) | F.array_contains("_teams", F.col("team_id"))
+    return scopes.source_fingerprint(rows.filter(wanted), by)
+
+
 def live_rows(store: Store, dimension: DataFrame, query: MetricQuery) -> DataFrame:
     """Calculate the player-season rows of a query from the game tables."""
     wanted = scopes.requested(store.loads(), dimension, query.team_ids, query.season_ids)
@@ -232,18 +246,7 @@ def audit_store(store: Store, dimension: DataFrame) -> DataFrame:
     for metric in METRICS:
         part = store.values(metric).select("metric_id", "metric_cache_key", "season_id")
         stored = part if stored is None else stored.unionByName(part)
-    # As many entries as calculations are retained.
-    prints = []
-    for row in entries.select("metric_id", "metric_cache_key").collect():
-        try:
-            current = current_fingerprint(store, query_of_key(row["metric_cache_key"]))
-        except (ValueError, KeyError, TypeError):
-            # No calculation has such a key; the checks of the entries report it.
-            current = None
-        prints.append((row["metric_id"], row["metric_cache_key"], current))
-    fingerprints = store.spark.createDataFrame(
-        prints, "metric_id string, metric_cache_key string, source_fingerprint string"
-    )
+    fingerprints = entry_fingerprints(entries, store.loads())
     return issues.unionByName(quality.store_relation_issues(stored, entries, fingerprints))
 
 

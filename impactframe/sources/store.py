@@ -1,8 +1,7 @@
-"""Canonical and metric tables as partitioned parquet under one root folder.
+"""Canonical and metric tables as versioned parquet under one root folder.
 
-Game tables are partitioned by season type, season and team, so replacing one
-team-season overwrites just its partitions. Metric rows are partitioned by metric
-and key. A row that makes data visible (a load row, a cache entry) is written last.
+Every table has keys that its rows are replaced and dropped by: a team-season, or a metric and cache key. A commit
+replaces the keys of all its tables at once (see `snapshots`).
 """
 
 from __future__ import annotations
@@ -15,12 +14,19 @@ from pyspark.sql import functions as F
 
 from impactframe import schemas
 from impactframe.operators.with_without import minute_filter
-from impactframe.schemas import SCOPE
-from impactframe.session import materialize, release
+from impactframe.sources.snapshots import Part, Snapshots
 
-SCOPE_PARTITIONS = ["season_type", "season", "team_id"]
-LOAD_PARTITIONS = ["season_type", "season"]
-KEY_PARTITIONS = ["metric_id", "key_hash"]
+SCOPE_FOLDERS = ("season_type", "season")
+KEY_FOLDERS = ("metric_id", "key_hash")
+SCOPED = ("games", "game_players", "loads")
+
+
+def scope_key() -> Column:
+    return F.concat_ws("|", "season_type", "season", "team_id")
+
+
+def metric_key() -> Column:
+    return F.concat_ws("|", "metric_id", "key_hash")
 
 
 def key_hash(key: Column) -> Column:
@@ -28,15 +34,34 @@ def key_hash(key: Column) -> Column:
     return F.concat(F.lit("k"), F.substring(F.sha2(key, 256), 1, 32))
 
 
+_ENTRIES = schemas.CACHE_ENTRIES + ", key_hash string"
+
+
+def _value_table(metric: str) -> str:
+    return "ridge_values" if metric == "ridge" else "wowy_values"
+
+
+def _value_schema(metric: str) -> str:
+    return (schemas.RIDGE_VALUES if metric == "ridge" else schemas.WOWY_VALUES) + ", metric_id string, key_hash string"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     root: str
 
+    @property
+    def snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, self.root)
+
     # --- reading ----------------------------------------------------------
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        """A table with its fixed schema; empty if nothing was written yet."""
+        """A log with its fixed schema; empty if nothing was written yet."""
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
@@ -45,21 +70,19 @@ class Store:
             return self.spark.createDataFrame([], schema)
 
     def games(self) -> DataFrame:
-        return self._read("games", schemas.GAMES)
+        return self.snapshots.read("games", schemas.GAMES, scope_key())
 
     def game_players(self) -> DataFrame:
-        return self._read("game_players", schemas.GAME_PLAYERS)
+        return self.snapshots.read("game_players", schemas.GAME_PLAYERS, scope_key())
 
     def loads(self) -> DataFrame:
-        return self._read("loads", schemas.LOADS)
+        return self.snapshots.read("loads", schemas.LOADS, scope_key())
 
     def cache_entries(self) -> DataFrame:
-        return self._read("cache_entries", schemas.CACHE_ENTRIES + ", key_hash string")
+        return self.snapshots.read("cache_entries", _ENTRIES, metric_key())
 
     def values(self, metric: str) -> DataFrame:
-        schema = schemas.RIDGE_VALUES if metric == "ridge" else schemas.WOWY_VALUES
-        table = "ridge_values" if metric == "ridge" else "wowy_values"
-        return self._read(table, schema + ", metric_id string, key_hash string").filter(F.col("metric_id") == metric)
+        return self.snapshots.read(_value_table(metric), _value_schema(metric), metric_key()).filter(F.col("metric_id") == metric)
 
     def usage_log(self) -> DataFrame:
         return self._read("usage_log", schemas.USAGE_LOG)
@@ -97,71 +120,71 @@ class Store:
 
     # --- writing ----------------------------------------------------------
 
-    def _replace_partitions(self, df: DataFrame, name: str, partitions: list[str]) -> None:
-        # Spark would read the sources of cached frames again after an overwrite; drop those caches first.
-        release()
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions)
-            .parquet(f"{self.root}/{name}")
-        )
-
     def replace_scopes(self, games: DataFrame, players: DataFrame, loads: DataFrame) -> None:
-        """Replace the team-seasons that these rows belong to; other team-seasons stay as they are."""
-        self._replace_partitions(players.repartition(*SCOPE_PARTITIONS), "game_players", SCOPE_PARTITIONS)
-        self._replace_partitions(games.repartition(*SCOPE_PARTITIONS), "games", SCOPE_PARTITIONS)
-        self.upsert_loads(loads)
+        """Replace the team-seasons that these rows belong to, in all three tables; other team-seasons stay."""
+        self._commit_scopes({"games": games, "game_players": players, "loads": loads}, SCOPED)
 
     def upsert_loads(self, loads: DataFrame) -> None:
         """Insert load rows, replacing those of the same team, season and type."""
-        new = materialize(loads)
-        seasons = new.select(*LOAD_PARTITIONS).distinct()
-        kept = self.loads().join(seasons, LOAD_PARTITIONS, "left_semi").join(new.select(*SCOPE), SCOPE, "left_anti")
-        # The kept rows come from the partitions about to be overwritten.
-        merged = materialize(kept.unionByName(new))
-        self._replace_partitions(merged.repartition(*LOAD_PARTITIONS), "loads", LOAD_PARTITIONS)
+        self._commit_scopes({"loads": loads}, ("loads",))
+
+    def _commit_scopes(self, frames: dict[str, DataFrame], tables: tuple[str, ...]) -> None:
+        layout = {"games": schemas.GAMES, "game_players": schemas.GAME_PLAYERS, "loads": schemas.LOADS}
+        parts = {
+            name: Part(df.select(*_names(layout[name])), scope_key(), () if name == "loads" else SCOPE_FOLDERS)
+            for name, df in frames.items()
+        }
+        snapshots = self.snapshots
+        version = snapshots.stage(parts)
+        added = None
+        for name in parts:
+            keys = snapshots.staged(version, name, layout[name]).select(F.lit(name).alias("table_name"), scope_key().alias("live_key")).distinct()
+            added = keys if added is None else added.unionByName(keys)
+        # A team-season without rows in one of the tables loses its old ones there, too.
+        scopes = added.select("live_key").distinct()
+        snapshots.publish(version, added, lambda lines: lines.filter(F.col("table_name").isin(*tables)).join(scopes, "live_key", "left_semi"))
 
     def replace_metric(self, metric: str, key: str, rows: DataFrame, *, build_version: str, fingerprint: str) -> int:
-        """Replace the rows of one key and then its entry; returns the number of rows."""
-        columns = [c.strip().split(" ")[0] for c in (schemas.RIDGE_VALUES if metric == "ridge" else schemas.WOWY_VALUES).split(",")]
-        table = "ridge_values" if metric == "ridge" else "wowy_values"
-        keyed = materialize(
-            rows.withColumn("metric_cache_key", F.lit(key))
-            .select(*columns)
-            .withColumn("metric_id", F.lit(metric))
-            .withColumn("key_hash", key_hash(F.lit(key)))
-        )
-        count = keyed.count()
-        self._replace_partitions(keyed, table, KEY_PARTITIONS)
+        """Replace the rows of one key and its entry; returns the number of rows."""
+        table, schema = _value_table(metric), _value_schema(metric)
+        hashed = key_hash(F.lit(key))
+        keyed = rows.withColumns({"metric_cache_key": F.lit(key), "metric_id": F.lit(metric), "key_hash": hashed}).select(*_names(schema))
+        snapshots = self.snapshots
+        version = snapshots.stage({table: Part(keyed, metric_key(), KEY_FOLDERS)})
+        count = snapshots.staged(version, table, schema).count()
         entry = self.spark.range(1).select(
+            F.lit(metric).alias("metric_id"),
             F.lit(key).alias("metric_cache_key"),
             F.lit(build_version).alias("build_version"),
             F.lit(fingerprint).alias("source_fingerprint"),
             F.lit(count).cast("bigint").alias("row_count"),
             F.current_timestamp().alias("updated_at"),
-            F.lit(metric).alias("metric_id"),
-            key_hash(F.lit(key)).alias("key_hash"),
+            hashed.alias("key_hash"),
         )
-        self._replace_partitions(entry, "cache_entries", KEY_PARTITIONS)
+        snapshots.write_part(version, "cache_entries", entry)
+        own = F.concat_ws("|", F.lit(metric), hashed)
+        names = [table, "cache_entries"] if count else ["cache_entries"]
+        added = self.spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("table_name"), own.alias("live_key"))
+        snapshots.publish(version, added, lambda lines: lines.filter(F.col("table_name").isin(table, "cache_entries") & (F.col("live_key") == own)))
         return count
 
     def prune(self, metric: str, keys: list[str]) -> None:
-        """Drop every key of a metric that is not listed: first the entries, then the rows."""
-        hashes = [F.concat(F.lit("k"), F.substring(F.sha2(F.lit(k), 256), 1, 32)) for k in keys]
-        kept_key = F.lit(False)
-        for value in hashes:
-            kept_key = kept_key | (F.col("key_hash") == value)
-        table = "ridge_values" if metric == "ridge" else "wowy_values"
-        for name, df in (
-            ("cache_entries", self.cache_entries().filter(F.col("metric_id") == metric)),
-            (table, self.values(metric)),
-        ):
-            kept = materialize(df.filter(kept_key))
-            release()
-            kept.drop("metric_id").write.mode("overwrite").partitionBy("key_hash").parquet(
-                f"{self.root}/{name}/metric_id={metric}"
-            )
+        """Drop every key of a metric that is not listed, rows and entries at once."""
+        kept = [F.concat_ws("|", F.lit(metric), key_hash(F.lit(k))) for k in keys]
+        listed = F.lit(False)
+        for own in kept:
+            listed = listed | (F.col("live_key") == own)
+        of_metric = F.col("table_name").isin(_value_table(metric), "cache_entries") & F.col("live_key").startswith(f"{metric}|")
+        self.snapshots.publish(None, None, lambda lines: lines.filter(of_metric & ~listed))
+
+    def compact(self, table: str) -> None:
+        """Write the live rows of a scoped table once more, so that few folders hold them."""
+        frame = {"games": self.games, "game_players": self.game_players, "loads": self.loads}[table]()
+        self._commit_scopes({table: frame}, (table,))
+
+    def vacuum(self) -> list[str]:
+        """Delete files that no reader of the current state needs."""
+        return self.snapshots.vacuum()
 
     def record_request(self, metric: str, key: str) -> None:
         """Add one request to the log; counts are made on reading."""

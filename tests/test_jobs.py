@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from builders import dimension, games, players
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from impactframe.operators import quality as Q
 from impactframe.operators import ridge as R
 from impactframe.plans import jobs as J
 from impactframe.sources.csv_files import Ingested
+from impactframe.sources.snapshots import MANIFEST, Snapshots
 from impactframe.sources.store import Store
 
 YEARS = range(2020, 2025)
@@ -168,3 +171,48 @@ def test_failing_fast_shows_a_preview(spark):
     with pytest.raises(ValueError, match=r"7 issue\(s\).*2 more"):
         Q.require_clean(issues)
     assert "games x7: bad <num>" in Q.summary_text(issues)
+
+
+def test_a_killed_commit_leaves_the_old_state(spark, store, monkeypatch):
+    before = sorted(map(tuple, store.games().collect()))
+    g, p = season_tables(spark, "2022-23", margin=9)
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Snapshots, "publish", killed)
+        with pytest.raises(RuntimeError, match="killed"):
+            store.replace_scopes(g, p, loads_of(spark, g, p))
+    assert sorted(map(tuple, store.games().collect())) == before
+    # A manifest without its mark of completeness is not read either.
+    number = store.snapshots.version()
+    spark.createDataFrame([], MANIFEST).write.parquet(f"{store.root}/manifest/{number + 1}")
+    Path(store.root, "manifest", str(number + 1), "_SUCCESS").unlink()
+    assert store.snapshots.version() == number
+    store.replace_scopes(g, p, loads_of(spark, g, p))
+    assert store.snapshots.version() == number + 2
+    assert sorted(map(tuple, store.games().collect())) != before
+    assert any("version=" in x for x in store.vacuum())
+    assert store.games().count() == len(before)
+
+
+def test_no_players_of_an_emptied_team_season_stay(spark, store):
+    g, p = season_tables(spark, "2022-23")
+    one = F.col("team_id") == 1
+    store.replace_scopes(g.filter(one), p.filter("false"), loads_of(spark, g, p).filter(one))
+    left = {(r.team_id, r.season): r["count"] for r in store.game_players().groupBy("team_id", "season").count().collect()}
+    assert left.keys() == {(1, "2021-22"), (2, "2021-22"), (2, "2022-23")}
+    before = sorted(map(tuple, store.games().collect()))
+    store.compact("games")
+    assert sorted(map(tuple, store.games().collect())) == before
+    assert store.vacuum() and sorted(map(tuple, store.games().collect())) == before
+
+
+def test_fingerprints_of_all_entries_in_one_plan(spark, store):
+    queries = [J.MetricQuery("wowy", ["2022-23:REGULAR"], teams) for teams in ([], [1], [1, 2])]
+    queries.append(J.MetricQuery("ridge", ["2022-23:REGULAR", "2021-22:REGULAR"], [2]))
+    rows = [(q.metric, q.key) for q in queries] + [("wowy", "no key at all")]
+    entries = spark.createDataFrame(rows, "metric_id string, metric_cache_key string")
+    got = {(r.metric_id, r.metric_cache_key): r.source_fingerprint for r in J.entry_fingerprints(entries, store.loads()).collect()}
+    assert got == {(q.metric, q.key): J.current_fingerprint(store, q) for q in queries}

@@ -178,16 +178,17 @@ def test_blocks_of_cross_products(spark):
     x[:, 5], x[0] = np.where(np.arange(120) < 3, 1.0, 0.0), 1.0
     y = rng.normal(size=120)
     entries = entries_of(spark, x, y)
-    columns = G.numbered_columns(entries)
+    places = G.layout(entries)
     for block in (G.BLOCK, 10, 4):
-        blocks = G.gram_blocks(entries, columns, block)
+        blocks = G.gram_blocks(entries, places, block)
         got = {(r.first, r.second): r.value for r in G.cells(blocks, block).collect()}
         whole = x.T @ x
         for i in range(23):
             assert got[i, -1] == pytest.approx(x[:, i] @ y)
             assert all(got.get((i, j), 0.0) == pytest.approx(whole[i, j]) for j in range(i + 1))
     # A task sends a block once, however many rows it has read.
-    rows = [G.gram_blocks(e, columns, 10).count() for e in (entries, entries.unionByName(entries.withColumn("game_id", F.concat("game_id", F.lit("b")))))]
+    twice = entries.unionByName(entries.withColumn("game_id", F.concat("game_id", F.lit("b"))))
+    rows = [G.gram_blocks(e, G.layout(e), 10).count() for e in (entries, twice)]
     assert rows[0] == rows[1] == 3 * 4 // 2 + 3
 
 
@@ -203,26 +204,26 @@ def test_many_columns_in_blocks(spark):
         design[g, chosen] = values
         rows += [("s", str(g), 1, int(c), float(v)) for c, v in zip(chosen, values)]
     entries = spark.createDataFrame(rows, "season_id string, game_id string, mirror int, code long, x double")
-    columns = G.numbered_columns(entries).persist()
-    assert columns.count() == wide
-    penalties = columns.crossJoin(spark.createDataFrame([(0, 2.0), (1, 30.0)], "setting_id int, penalty double"))
-    solved = S.solve(G.gram_blocks(entries, columns), columns, penalties.select("season_id", "setting_id", "position", "penalty"))
+    places = G.layout(entries)
+    assert places.columns == {"s": wide} and places.rows == {"s": n}
+    alphas = F.explode(F.create_map(F.lit(0), F.lit(2.0), F.lit(1), F.lit(30.0))).alias("setting_id", "penalty")
+    penalties = places.places.filter("position >= 0").select("season_id", "position", alphas)
+    solved = S.solve(G.gram_blocks(entries, places), places, penalties)
     got = solved.toPandas().pivot(index="code", columns="setting_id", values="coefficient").loc[range(wide)].to_numpy()
     for s, alpha in ((0, 2.0), (1, 30.0)):
         # By the smaller system of the rows.
         expected = design.T @ np.linalg.solve(design @ design.T + alpha * np.eye(n), target)
         assert np.abs(got[:, s] - expected).max() < 1e-9
-    columns.unpersist()
 
 
 def test_singular_blocks_are_an_error(spark):
     x = np.eye(9)[:, [0, 1, 2, 3, 4, 5, 6, 7, 7]]
     entries = entries_of(spark, x, np.ones(9))
-    columns = G.numbered_columns(entries)
-    penalties = columns.select("season_id", F.lit(0).alias("setting_id"), "position", F.lit(0.0).alias("penalty"))
+    places = G.layout(entries)
+    penalties = places.places.filter("position >= 0").select("season_id", F.lit(0).alias("setting_id"), "position", F.lit(0.0).alias("penalty"))
     for block in (G.BLOCK, 4):
         with pytest.raises(PythonException, match="singular"):
-            S.solve(G.gram_blocks(entries, columns, block), columns, penalties, block).collect()
+            S.solve(G.gram_blocks(entries, places, block), places, penalties, block).collect()
 
 
 def test_weights_sum_to_five_per_side(spark):
