@@ -99,7 +99,8 @@ def _game_checks() -> list[tuple[Column, Column | str]]:
     ]
 
 
-def _game_plausibility() -> list[tuple[Column, Column | str]]:
+def game_plausibility() -> list[tuple[Column, Column | str]]:
+    """Checks of a game row whose texts and numbers could be read."""
     year = start_year(F.col("season"))
     return [
         (F.col("team_id") == F.col("opponent_team_id"), "team and opponent must differ"),
@@ -119,7 +120,7 @@ def check_games(games: DataFrame, dimension: DataFrame) -> DataFrame:
     known = _with_years(_with_years(games, dimension, "team_id", "_years"), dimension, "opponent_team_id", "_opponent_years")
     structure = first_problem(*_game_checks())
     return (
-        known.withColumn("problem", F.coalesce(structure, first_problem(*_game_plausibility())))
+        known.withColumn("problem", F.coalesce(structure, first_problem(*game_plausibility())))
         .withColumn("readable", structure.isNull())
         .drop("_years", "_opponent_years")
     )
@@ -465,18 +466,16 @@ def request_issues(members: DataFrame, context: DataFrame) -> DataFrame:
     return issue_rows(missing, "request", key, F.lit("unknown player"))
 
 
-def write_issues(games: DataFrame, players: DataFrame, scope: tuple[int, str, str]) -> DataFrame:
-    """What keeps a batch from being written as one team-season."""
-    team, season, season_type = scope
-    foreign = (F.col("team_id") != team) | (F.col("season") != season) | (F.col("season_type") != season_type)
+def write_issues(games: DataFrame, players: DataFrame, loads: DataFrame) -> DataFrame:
+    """What keeps rows from being written as the team-seasons of ``loads``."""
+    loaded = loads.select(*SCOPE)
+    outside = games.join(loaded, SCOPE, "left_anti")
+    orphans = players.join(games.select(*SIDE), SIDE, "left_anti")
     key = key_text(game_id="game_id", team_id="team_id")
-    other = issue_rows(games.filter(foreign), "games", key, F.lit("row is outside the written team-season"))
-    wrong_team = issue_rows(
-        players.filter(F.col("team_id") != team), "game_players", key, F.lit("row is outside the written team")
+    player_key = key_text(game_id="game_id", team_id="team_id", player_id="player_id")
+    return issue_rows(outside, "games", key, F.lit("row is outside the written team-seasons")).unionByName(
+        issue_rows(orphans, "game_players", player_key, F.lit("player row refers to a game that is not written"))
     )
-    orphans = players.join(games.select("game_id").distinct(), "game_id", "left_anti")
-    missing = issue_rows(orphans, "game_players", key, F.lit("player row refers to a game that is not written"))
-    return other.unionByName(wrong_team).unionByName(missing)
 
 
 # --- summary --------------------------------------------------------------
@@ -546,6 +545,37 @@ def require_clean(issues: DataFrame, preview: int = 5) -> None:
     raise ValueError(f"validation failed with {total} issue(s): {text}{more}")
 
 
+def enforced(df: DataFrame, issues: DataFrame, preview: int = 5) -> DataFrame:
+    """The frame itself, but reading it raises if there is any issue, with counts and the first kinds of issue.
+
+    The check is a scalar subquery of the same plan: it is evaluated once, before any row is returned and also if there
+    are none. Issues are first counted by kind, so that their number does not matter. The error comes from the
+    subquery as a ``Py4JJavaError``; ``raised_text`` gives its message.
+    """
+    kinds = issue_trends(issues).agg(
+        F.sum("count").alias("total"), F.array_sort(F.collect_list(F.struct("table", "example_key", "example_message", "count"))).alias("kinds")
+    )
+    shown = F.transform(
+        F.slice("kinds", 1, preview),
+        lambda k: F.concat(k["table"], F.lit("["), k["example_key"], F.lit("]: "), k["example_message"], F.lit(" x"), k["count"].cast("string")),
+    )
+    text = F.concat(
+        F.format_string("validation failed with %d issue(s): ", "total"),
+        F.array_join(shown, "; "),
+        F.when(F.size("kinds") > preview, F.format_string("; %d more kinds", F.size("kinds") - preview)).otherwise(""),
+    )
+    verdict = kinds.select(F.when(F.col("total") > 0, F.raise_error(text).cast("boolean")).otherwise(True))
+    return df.filter(verdict.scalar())
+
+
+def raised_text(error: Exception) -> str:
+    """What went wrong, without the stack: the message of the innermost cause."""
+    cause, text = getattr(error, "java_exception", None), str(error)
+    while cause is not None:
+        cause, text = cause.getCause(), cause.getMessage() or text
+    return text
+
+
 def summary_text(issues: DataFrame, top_n: int = 10) -> str:
     """Short report of the issue counts and the most frequent kinds."""
     tables = issues_by_table(issues).orderBy(F.desc("issues"), "table").collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +123,10 @@ def entry_fingerprints(entries: DataFrame, loads: DataFrame) -> DataFrame:
 
 
 def live_rows(store: Store, dimension: DataFrame, query: MetricQuery) -> DataFrame:
-    """Calculate the player-season rows of a query from the game tables."""
+    """Calculate the player-season rows of a query from the game tables.
+
+    Reading them raises if a game cannot be used: nobody appeared for a team, or a ridge game lacks a side or minutes.
+    """
     wanted = scopes.requested(store.loads(), dimension, query.team_ids, query.season_ids)
     if query.metric == "ridge":
         wanted = scopes.complete_only(wanted, store.loads(), dimension)
@@ -138,7 +142,7 @@ def live_rows(store: Store, dimension: DataFrame, query: MetricQuery) -> DataFra
             settings=[query.setting],
             **query.minutes,
         )
-        return rows.drop("setting_id")
+        return quality.enforced(rows.drop("setting_id"), ridge.observation_issues(games, players))
     games, players = scopes.own_sides(store.games(), store.game_players(), wanted)
     filters = {
         "min_games_with": query.min_games_with,
@@ -146,8 +150,10 @@ def live_rows(store: Store, dimension: DataFrame, query: MetricQuery) -> DataFra
         **query.minutes,
     }
     if query.metric == "wowy_shrunk":
-        return with_without.wowy_shrunk(games, players, prior_games=query.prior_games, **filters)
-    return with_without.wowy(games, players, **filters)
+        rows = with_without.wowy_shrunk(games, players, prior_games=query.prior_games, **filters)
+    else:
+        rows = with_without.wowy(games, players, **filters)
+    return quality.enforced(rows, with_without.lineup_issues(games, players))
 
 
 def _with_season(rows: DataFrame) -> DataFrame:
@@ -276,8 +282,8 @@ def rebuild(store: Store, dimension: DataFrame, ingested, metrics: list[str] | N
     for metric in metrics or METRICS:
         try:
             done[metric] = refresh_metric(store, dimension, metric)
-        except ValueError as error:
-            return Rebuilt(done, metric, str(error))
+        except (ValueError, Py4JJavaError) as error:
+            return Rebuilt(done, metric, quality.raised_text(error))
     issues = audit_store(store, dimension)
     if strict and not issues.isEmpty():
         return Rebuilt(done, "audit", quality.summary_text(issues, 3))

@@ -6,6 +6,7 @@ replaces the keys of all its tables at once (see `snapshots`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe import schemas
+from impactframe.operators import quality
 from impactframe.operators.with_without import minute_filter
 from impactframe.sources.snapshots import Part, Snapshots
 
@@ -121,14 +123,27 @@ class Store:
     # --- writing ----------------------------------------------------------
 
     def replace_scopes(self, games: DataFrame, players: DataFrame, loads: DataFrame) -> None:
-        """Replace the team-seasons that these rows belong to, in all three tables; other team-seasons stay."""
-        self._commit_scopes({"games": games, "game_players": players, "loads": loads}, SCOPED)
+        """Replace the team-seasons that these rows belong to, in all three tables; other team-seasons stay.
+
+        Games outside the team-seasons of ``loads`` or players without a game are an error, found in the written files
+        before the switch, so that the sources are read once and the old state stays.
+        """
+
+        def check(staged: dict[str, DataFrame]) -> None:
+            quality.require_clean(quality.write_issues(staged["games"], staged["game_players"], staged["loads"]))
+
+        self._commit_scopes({"games": games, "game_players": players, "loads": loads}, SCOPED, check)
 
     def upsert_loads(self, loads: DataFrame) -> None:
         """Insert load rows, replacing those of the same team, season and type."""
         self._commit_scopes({"loads": loads}, ("loads",))
 
-    def _commit_scopes(self, frames: dict[str, DataFrame], tables: tuple[str, ...]) -> None:
+    def _commit_scopes(
+        self,
+        frames: dict[str, DataFrame],
+        tables: tuple[str, ...],
+        check: Callable[[dict[str, DataFrame]], None] | None = None,
+    ) -> None:
         layout = {"games": schemas.GAMES, "game_players": schemas.GAME_PLAYERS, "loads": schemas.LOADS}
         parts = {
             name: Part(df.select(*_names(layout[name])), scope_key(), () if name == "loads" else SCOPE_FOLDERS)
@@ -136,9 +151,12 @@ class Store:
         }
         snapshots = self.snapshots
         version = snapshots.stage(parts)
+        staged = {name: snapshots.staged(version, name, layout[name]) for name in parts}
+        if check is not None:
+            check(staged)
         added = None
         for name in parts:
-            keys = snapshots.staged(version, name, layout[name]).select(F.lit(name).alias("table_name"), scope_key().alias("live_key")).distinct()
+            keys = staged[name].select(F.lit(name).alias("table_name"), scope_key().alias("live_key")).distinct()
             added = keys if added is None else added.unionByName(keys)
         # A team-season without rows in one of the tables loses its old ones there, too.
         scopes = added.select("live_key").distinct()

@@ -2,6 +2,7 @@ from pathlib import Path
 
 import pytest
 from builders import dimension, games, players
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from impactframe.functions import keys as K
@@ -173,6 +174,40 @@ def test_failing_fast_shows_a_preview(spark):
     assert "games x7: bad <num>" in Q.summary_text(issues)
 
 
+def test_unusable_games_stop_a_live_query(spark, store):
+    games_, players_ = season_tables(spark, "2022-23")
+    lone = players_.filter("not (game_id = '2022003' and team_id = 2)")
+    store.replace_scopes(games_, lone, loads_of(spark, games_, lone))
+    dim = dimension(spark, [1, 2], YEARS)
+    with pytest.raises(Py4JJavaError, match=r"1 issue\(s\): games\[game_id=2022003,team_id=2\]: no appeared players"):
+        J.live_rows(store, dim, query("wowy")).collect()
+    with pytest.raises(Py4JJavaError, match=r"games\[game_id=2022003\]"):
+        J.live_rows(store, dim, query("ridge")).collect()
+    done = J.rebuild(store, dim, Ingested(games_, lone, loads_of(spark, games_, lone), None, None), ["wowy"])
+    assert done.failed_stage == "wowy" and "no appeared players" in done.message
+
+
+def test_issues_of_all_kinds_in_one_preview(spark):
+    issues = spark.createDataFrame(
+        [("games", f"k{i:02d}", f"bad {i}") for i in range(40)] + [("loads", "l", t) for t in "abcdef"],
+        "table string, key string, message string",
+    )
+    rows = spark.range(3)
+    assert Q.enforced(rows, issues.filter("key = 'none'")).count() == 3
+    with pytest.raises(Py4JJavaError, match=r"46 issue\(s\): games\[k00\]: bad 0 x40; loads\[l\]: a x1; .* 2 more kinds"):
+        Q.enforced(rows, issues).collect()
+
+
+def test_a_batch_must_be_whole_team_seasons(spark, store):
+    g, p = season_tables(spark, "2022-23", margin=9)
+    before = sorted(map(tuple, store.games().collect()))
+    with pytest.raises(ValueError, match="24 issue.*outside the written team-seasons"):
+        store.replace_scopes(g, p, loads_of(spark, g, p).filter("team_id = 1").withColumn("season", F.lit("2021-22")))
+    with pytest.raises(ValueError, match="6 issue.*refers to a game that is not written"):
+        store.replace_scopes(g.filter("not (team_id = 1 and game_id = '2022001')"), p, loads_of(spark, g, p))
+    assert sorted(map(tuple, store.games().collect())) == before
+
+
 def test_a_killed_commit_leaves_the_old_state(spark, store, monkeypatch):
     before = sorted(map(tuple, store.games().collect()))
     g, p = season_tables(spark, "2022-23", margin=9)

@@ -185,6 +185,49 @@ def test_payload_folder(spark, payload_folder):
     assert names == {11: "One", 12: "Two", 21: "Three", 22: "Four", 10: "A B", 20: "A B"}
 
 
+def test_findings_of_a_batch(spark):
+    def lineup(minutes, ids=None):
+        return list(zip(ids or range(1, len(minutes) + 1), minutes, strict=True))
+
+    good = lineup([48.0] * 5)
+    cases = [
+        ("good", "2022-23", 3.0, good, None),
+        ("late", "2022-23", 3.0, good, "date '2024-02-01' falls outside season '2022-23'"),
+        ("margin", "2022-23", float("inf"), good, "margin must be finite"),
+        ("minus", "2022-23", 3.0, lineup([-1.0] + [48.0] * 5), "minutes must be finite and not negative"),
+        ("long", "2022-23", 3.0, lineup([80.5] + [48.0] * 5), "implausible minutes 80.5"),
+        ("limit", "2022-23", 3.0, lineup([80.0] + [35.0] * 4), None),
+        ("twice", "2022-23", 3.0, lineup([40.0] * 6, [7, 3, 7, 3, 1, 2]), "duplicate player row 3"),
+        ("few", "2022-23", 3.0, lineup([60.0] * 4), "expected at least 5 appeared players, found 4"),
+        ("many", "2022-23", 3.0, lineup([10.0] * 26), "expected at most 25 player rows, found 26"),
+        ("short", "2022-23", 3.0, lineup([43.9] * 5), "implausible total minutes 219.5"),
+        ("problem", "2022-23", None, [], None),
+    ]
+    rows = spark.createDataFrame(
+        [(g, s, m, 1, 2, players, "unreadable" if g == "problem" else None) for g, s, m, players, _ in cases],
+        "game_id string, season string, margin double, team_id long, opponent_team_id long, "
+        "lineup array<struct<player_id:long,minutes:double>>, problem string",
+    ).withColumn("game_date", F.when(F.col("game_id") == "late", "2024-02-01").otherwise("2023-01-05").cast("date"))
+    found = {r.game_id: r.f and r.f.message for r in rows.select("game_id", P.batch_finding(P.BatchLimits()).alias("f")).collect()}
+    assert found == {g: message for g, _, _, _, message in cases}
+
+
+def test_a_finding_refuses_the_team_season(spark, payload_folder):
+    spans = spark.createDataFrame([(t, f"T0{t}", "C", "N", 2000, None, f"T0{t}") for t in (1, 2)], teams.SPANS)
+    result = P.ingest_folder(spark, payload_folder, spans, teams.team_seasons(spans, 2025))
+    assert result.games.isEmpty() and result.game_players.isEmpty() and result.loads.isEmpty()
+    failures = {(r.team_id, r.failure_kind, r.game_id, r.message) for r in result.failures.collect()}
+    # The first finding of team 1; team 2 has unreadable games and is not checked as a batch.
+    assert failures == {
+        (1, "validation_error", "001", "expected at least 5 appeared players, found 1"),
+        (2, "partial_scope_error", "001", "player row with unreadable MIN"),
+        (2, "partial_scope_error", "003", "no box score for the game"),
+    }
+    details = json.loads(result.failures.filter("game_id = '001' and team_id = 2").first().details)
+    assert [list(row) for row in details] == [["game_id", "minutes", "player_id", "player_name", "team_id"]] * 2
+    assert details[0]["minutes"] is None
+
+
 def test_quarter_coverage(spark):
     rows = [("1", "2001-01-01 00:00:00", "C", "N", "5", None, "3", None), ("2", "2002-01-01 00:00:00", "C", "N", "5", "1", "3", "4")]
     df = spark.createDataFrame(rows, "gameId string, gameDateTimeEst string, teamCity string, teamName string, q1Points string, q2Points string, q3Points string, q4Points string")
