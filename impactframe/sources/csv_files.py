@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -330,11 +331,18 @@ def _failed_scopes(findings: DataFrame) -> DataFrame:
 
 def whole_scopes(ingested: Ingested) -> Ingested:
     """Only the team-seasons without a failure; a failure without a team refuses its season, one without both everything."""
-    refused = ingested.failures.select(*(F.col(c).alias(f"_{c}") for c in SCOPE)).distinct()
+    refused = ingested.failures.select(*SCOPE).distinct()
+    # Every failure that can refuse a team-season equals it in some columns and is null in the others: eight texts to
+    # look up by null-safe equality, where "null or equal" would compare all team-seasons with all failures.
+    patterns = [
+        F.struct(*[F.when(F.lit(known), F.col(c)).alias(c) for c, known in zip(SCOPE, flags, strict=True)])
+        for flags in product((True, False), repeat=len(SCOPE))
+    ]
+    asked = ingested.loads.select(*[F.col(c).alias(f"_{c}") for c in SCOPE], F.inline(F.array(*patterns)))
     hit = F.lit(True)
     for column in SCOPE:
-        hit = hit & (F.col(f"_{column}").isNull() | (F.col(column) == F.col(f"_{column}")))
-    bad = ingested.loads.select(*SCOPE).join(refused, hit, "left_semi")
+        hit = hit & asked[column].eqNullSafe(refused[column])
+    bad = asked.join(refused, hit, "left_semi").select(*[F.col(f"_{c}").alias(c) for c in SCOPE]).distinct()
     kept = [df.join(bad, SCOPE, "left_anti") for df in (ingested.games, ingested.game_players, ingested.loads)]
     return Ingested(*kept, ingested.issues, ingested.failures)
 

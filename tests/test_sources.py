@@ -125,6 +125,27 @@ def test_a_bad_game_refuses_its_team_seasons(spark):
 
 
 
+@pytest.mark.parametrize(
+    ("failure", "left"),
+    [
+        ((1, "2021-22", "A"), 7),
+        ((None, "2021-22", "A"), 6),
+        ((None, "2021-22", None), 4),
+        ((2, None, None), 4),
+        ((None, None, "B"), 4),
+        ((None, None, None), 0),
+        ((3, "2021-22", None), 8),
+    ],
+)
+def test_what_is_null_in_a_failure_refuses_all(spark, failure, left):
+    scopes_ = [(t, s, k) for t in (1, 2) for s in ("2021-22", "2022-23") for k in "AB"]
+    loads = spark.createDataFrame(scopes_, "team_id long, season string, season_type string")
+    failures = spark.createDataFrame([failure] * 2, loads.schema)
+    whole = C.whole_scopes(C.Ingested(loads, loads, loads, None, failures))
+    plan = whole.loads._jdf.queryExecution().toString()
+    assert whole.loads.count() == left and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def _sets(player_rows, team_rows):
     return {
         "resultSets": [
