@@ -179,7 +179,15 @@ def request_issues(spark, folder):
     return Q.request_issues(exposure_weights(obs, players), context)
 
 
+def write_issues(spark, folder):
+    """Every 53rd game is written under a season type that is not loaded, its players are not."""
+    games, players = tables(spark, folder)
+    moved = F.when(F.col("game_id").cast("bigint") % 53 == 0, "Playoffs").otherwise(F.col("season_type"))
+    return Q.write_issues(games.withColumn("season_type", moved), players, loads_view(games, players))
+
+
 QUERIES = {
+    "write_issues": write_issues,
     "game_issues": game_issues,
     "player_issues": player_issues,
     "load_issues": load_issues,
@@ -299,6 +307,14 @@ _UNION = """(SELECT * FROM game_problems WHERE message IS NOT NULL UNION ALL
   SELECT * FROM player_problems WHERE message IS NOT NULL UNION ALL SELECT * FROM pair_problems)"""
 
 ORACLES = {
+    "write_issues": over(
+        select="""SELECT 'games' AS "table", 'game_id=''' || game_id || ''',team_id=' || team_id AS key,
+            'row is outside the written team-seasons' AS message
+          FROM games WHERE CAST(game_id AS BIGINT) % 53 = 0
+          UNION ALL SELECT 'game_players', 'game_id=''' || game_id || ''',team_id=' || team_id || ',player_id=' || player_id,
+            'player row refers to a game that is not written'
+          FROM players WHERE CAST(game_id AS BIGINT) % 53 = 0"""
+    ),
     "document_signatures": r"""
       WITH pieces AS (
         SELECT regexp_extract_all(regexp_replace(text, '''[^'']*''', '''<value>''', 'g'),
