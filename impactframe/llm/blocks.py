@@ -31,17 +31,20 @@ def unpack_array(payload: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), dtype=dtype)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId()
-    for n, block in enumerate(tb.blocks(batches, max_bytes=BLOCK_BYTES)):
-        row = [[task << 32 | n], [block.column("doc_id").to_pylist()], [pack_array(np.diff(block.bounds))], [pack_array(block.data)]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "sizes", "texts"])
+def _packed(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for n, block in enumerate(tb.blocks(batches, max_bytes=block_bytes)):
+            row = [[task << 32 | n], [block.column("doc_id").to_pylist()], [pack_array(np.diff(block.bounds))], [pack_array(block.data)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["block", "doc_ids", "sizes", "texts"])
 
+    return run
 
-def pack(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
+
+def pack(docs: DataFrame, scratch: Scratch, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The table of blocks of ``docs`` (doc_id, text), one row each."""
-    return scratch.bucketed(docs.select("doc_id", "text").mapInArrow(_pack, _BLOCK), buckets, "block")
+    return scratch.bucketed(docs.select("doc_id", "text").mapInArrow(_packed(block_bytes), _BLOCK), buckets, "block")
 
 
 def unpack(row: dict) -> tuple[tb.Block, list[int | None]]:
@@ -71,6 +74,34 @@ def send(block: int, keys: np.ndarray, buckets: int, columns: dict[str, np.ndarr
     return pa.table(out)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending numbers as their steps, bytes of the same weight together: dense keys take fewer than eight bytes."""
+    steps = np.diff(keys, prepend=keys.dtype.type(0))
+    return pack_array(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(payload: bytes) -> np.ndarray:
+    steps = unpack_array(payload, np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def send_sorted(block: int, keys: np.ndarray, buckets: int, columns: dict[str, np.ndarray], kind: int = 0) -> pa.Table:
+    """Like ``send`` for distinct ascending keys, which are dealt by ranges: what comes back bucket by bucket is in
+    the order of the keys. The keys go as a column of that name; entries are along the last axis of ``columns``."""
+    limits = [(2**64 * b) // buckets for b in range(buckets)]
+    edges = np.append(np.searchsorted(keys, np.array(limits, dtype=np.uint64)), len(keys))
+    filled = np.flatnonzero(np.diff(edges)).tolist()
+    out = {
+        "block": pa.array([block] * len(filled), pa.int64()),
+        "bucket": pa.array(filled, pa.int32()),
+        "kind": pa.array([kind] * len(filled), pa.int32()),
+        "keys": pa.array([pack_sorted(keys[edges[b] : edges[b + 1]]) for b in filled], pa.binary()),
+    }
+    for name, values in columns.items():
+        out[name] = pa.array([pack_array(values[..., edges[b] : edges[b + 1]]) for b in filled], pa.binary())
+    return pa.table(out)
+
+
 def sent_schema(*columns: str) -> str:
     return "block long, bucket int, kind int, " + ", ".join(f"{k} binary" for k in columns)
 

@@ -19,8 +19,13 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Spark's setting to drop the shuffle files of a plan when it has run.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables of one job in the shared checkpoint folder: they cut the lineage and outlive lost executors."""
+    """Tables of one job in the shared checkpoint folder: they cut the lineage and outlive lost executors. What a
+    table was shuffled through is dropped as soon as it is written."""
 
     def __init__(self, spark: SparkSession, job: str):
         ensure_checkpoint_dir(spark)
@@ -33,7 +38,12 @@ class Scratch:
         self._written += 1
         path = f"{self.folder}/{self._written}"
         writer = df.write.partitionBy(*partitions) if partitions else df.write
-        writer.parquet(path)
+        before = self.spark.conf.get(_DROP_SHUFFLES, "false")
+        self.spark.conf.set(_DROP_SHUFFLES, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_DROP_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
