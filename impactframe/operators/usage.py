@@ -20,14 +20,18 @@ def usage_counts(log: DataFrame) -> DataFrame:
     )
 
 
-def keys_by_usage(log: DataFrame, metric: str) -> DataFrame:
-    return (
-        usage_counts(log)
-        .filter(F.col("metric_id") == metric)
-        .orderBy(F.desc("query_count"), F.desc("last_requested_at"), F.asc("metric_cache_key"))
+def added_counts(counts: DataFrame) -> DataFrame:
+    """Counts of several parts of a log as those of the whole."""
+    return counts.groupBy("metric_id", "metric_cache_key").agg(
+        F.sum("query_count").alias("query_count"), F.max("last_requested_at").alias("last_requested_at")
     )
 
 
+def keys_by_usage(counts: DataFrame, metric: str) -> DataFrame:
+    order = [F.desc("query_count"), F.desc("last_requested_at"), F.asc("metric_cache_key")]
+    return counts.filter(F.col("metric_id") == metric).orderBy(*order)
+
+
 def refreshable(keys: DataFrame, metric: str, loads: DataFrame) -> DataFrame:
     """Keys that are canonical and whose seasons and teams are all loaded. Keys for all teams are not rebuilt."""
     key = F.col("metric_cache_key")

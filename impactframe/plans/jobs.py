@@ -221,7 +221,7 @@ def pinned_queries(store: Store, metric: str) -> list[MetricQuery]:
 def retained_queries(store: Store, metric: str) -> list[MetricQuery]:
     """The pinned calculations and then the most requested others, up to the limit."""
     pinned = pinned_queries(store, metric)
-    used = usage.refreshable(usage.keys_by_usage(store.usage_log(), metric), metric, store.loads())
+    used = usage.refreshable(usage.keys_by_usage(store.usage_counts(), metric), metric, store.loads())
     keys = F.array(*[F.lit(q.key) for q in pinned]) if pinned else F.array().cast("array<string>")
     pinned_keys = store.spark.range(1).select(F.explode(keys).alias("metric_cache_key")).distinct()
     rows = usage.retained_keys(pinned_keys, used).collect()

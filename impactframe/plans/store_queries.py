@@ -13,10 +13,13 @@ from impactframe.plans import jobs as J
 from impactframe.plans.margin_queries import MINUTES, rounded, tables
 from impactframe.plans.quality_queries import LOADS
 from impactframe.plans.reference_sql import WITH_WITHOUT, over
+from impactframe.plans.table_queries import USAGE, usage_log
 from impactframe.session import ensure_checkpoint_dir, keep
+from impactframe.sources.request_log import RequestLog
 from impactframe.sources.sample_tables import loads_view
 from impactframe.sources.store import Store
 
+BATCHES = 10
 SEASONS = ["1995-96", "1996-97", "1997-98", "1998-99"]
 
 
@@ -92,7 +95,18 @@ def store_audit(spark, folder):
     return quality.store_relation_issues(stored, entries, prints)
 
 
+def recorded_requests(spark, folder):
+    """All requests, recorded in batches: the first eight are folded into one run on the way."""
+    ensure_checkpoint_dir(spark)
+    log = RequestLog(spark, f"{spark.sparkContext.getCheckpointDir()}/requests-{uuid.uuid4().hex}")
+    requests = keep(usage_log(spark, folder))
+    for batch in range(BATCHES):
+        log.add(requests.filter(F.pmod(F.hash("requested_at", "metric_cache_key"), F.lit(BATCHES)) == batch))
+    return log.counts().withColumn("last_requested_at", F.date_format("last_requested_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 QUERIES = {
+    "recorded_requests": recorded_requests,
     "store_after_replace": store_after_replace,
     "store_after_prune": store_after_prune,
     "cached_rows": cached_rows,
@@ -107,6 +121,10 @@ def _key_sql() -> str:
 
 
 ORACLES = {
+    "recorded_requests": "WITH "
+    + USAGE
+    + """ SELECT metric_id, metric_cache_key, query_count,
+      strftime(last_requested_at, '%Y-%m-%d %H:%M:%S') AS last_requested_at FROM counts""",
     "store_after_replace": over(
         LOADS,
         select="""SELECT g.team_id, g.season, g.season_type, g.games, g.margin, p.players, p.minutes, l.games_row_count

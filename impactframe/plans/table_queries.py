@@ -171,7 +171,7 @@ def source_fingerprint(spark, folder):
 # --- usage ----------------------------------------------------------------
 
 
-def _usage_log(spark, folder):
+def usage_log(spark, folder):
     metric = F.when(F.col("user_id") % 2 == 0, "wowy").otherwise("ridge")
     key = F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string"))
     return read_table(spark, folder, "events").select(
@@ -180,12 +180,12 @@ def _usage_log(spark, folder):
 
 
 def usage_counts(spark, folder):
-    counts = usage.usage_counts(_usage_log(spark, folder))
+    counts = usage.usage_counts(usage_log(spark, folder))
     return counts.withColumn("last_requested_at", F.date_format("last_requested_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def retained_keys(spark, folder):
-    counts = usage.usage_counts(_usage_log(spark, folder))
+    counts = usage.usage_counts(usage_log(spark, folder))
     used = counts.filter("metric_id = 'wowy'")
     pinned = counts.filter("metric_id = 'ridge' and metric_cache_key like '%-3'")
     return usage.retained_keys(pinned, used).select("metric_cache_key", "tier", "query_count")
@@ -395,7 +395,7 @@ expected AS (SELECT s.season, d.team_id, d.abbreviation FROM seasons s JOIN dime
 
 _WANTED = "(SELECT DISTINCT game_id FROM games WHERE team_id IN (3, 8) AND season IN ('1996-97', '1998-99'))"
 
-_USAGE = """
+USAGE = """
 log AS (
   SELECT CASE WHEN user_id % 2 = 0 THEN 'wowy' ELSE 'ridge' END AS metric_id,
     event_type || '-' || user_id % 7 AS metric_cache_key, ts AS requested_at FROM events),
@@ -599,11 +599,11 @@ digests AS (
             AS source_fingerprint FROM digests GROUP BY season""",
     ),
     "usage_counts": "WITH "
-    + _USAGE
+    + USAGE
     + """ SELECT metric_id, metric_cache_key, query_count,
       strftime(last_requested_at, '%Y-%m-%d %H:%M:%S') AS last_requested_at FROM counts""",
     "retained_keys": "WITH "
-    + _USAGE
+    + USAGE
     + """, ranked AS (
       SELECT metric_cache_key, 0 AS tier, CAST(0 AS BIGINT) AS query_count, NULL AS last_requested_at FROM counts
       WHERE metric_id = 'ridge' AND metric_cache_key LIKE '%-3'

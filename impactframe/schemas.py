@@ -29,6 +29,7 @@ WOWY_VALUES = (
     "average_minutes double, total_minutes double, raw_wowy_score double"
 )
 USAGE_LOG = ("metric_id string, metric_cache_key string, requested_at timestamp")
+USAGE_COUNTS = "metric_id string, metric_cache_key string, query_count bigint, last_requested_at timestamp"
 ISSUES = ("table string, key string, message string")
 TEAM_HISTORY = (
     "team_id bigint, season string, abbreviation string, franchise_id string, lookup_abbreviation string"

@@ -49,6 +49,12 @@ class Snapshots:
         path, files = self._path(folder), self._files()
         return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
 
+    def exists(self, path: str) -> bool:
+        return self._files().exists(self._path(path))
+
+    def delete(self, path: str) -> None:
+        self._files().delete(self._path(path), True)
+
     # --- reading ----------------------------------------------------------
 
     def version(self) -> int | None:

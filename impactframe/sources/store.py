@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from impactframe import schemas
-from impactframe.operators import quality
+from impactframe.operators import quality, usage
 from impactframe.operators.with_without import minute_filter
+from impactframe.sources.request_log import RequestLog
 from impactframe.sources.snapshots import Part, Snapshots
 
 SCOPE_FOLDERS = ("season_type", "season")
@@ -86,8 +87,14 @@ class Store:
     def values(self, metric: str) -> DataFrame:
         return self.snapshots.read(_value_table(metric), _value_schema(metric), metric_key()).filter(F.col("metric_id") == metric)
 
-    def usage_log(self) -> DataFrame:
-        return self._read("usage_log", schemas.USAGE_LOG)
+    @property
+    def requests(self) -> RequestLog:
+        return RequestLog(self.spark, f"{self.root}/requests")
+
+    def usage_counts(self) -> DataFrame:
+        """How often and when last each key was asked for, with the plain log that older stores have."""
+        older = usage.usage_counts(self._read("usage_log", schemas.USAGE_LOG))
+        return usage.added_counts(self.requests.counts().unionByName(older))
 
     def entry(self, metric: str, key: str) -> DataFrame:
         """The cache entry of one key, or no row."""
@@ -205,11 +212,11 @@ class Store:
         return self.snapshots.vacuum()
 
     def record_request(self, metric: str, key: str) -> None:
-        """Add one request to the log; counts are made on reading."""
+        """Add one request to the log."""
         row = self.spark.range(1).select(
             F.lit(metric).alias("metric_id"), F.lit(key).alias("metric_cache_key"), F.current_timestamp().alias("requested_at")
         )
-        row.write.mode("append").parquet(f"{self.root}/usage_log")
+        self.requests.add(row)
 
     def append_failures(self, failures: DataFrame) -> None:
         """Add ingest failures to the log, one JSON object per line."""

@@ -1,3 +1,5 @@
+from collections import Counter
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -10,6 +12,7 @@ from impactframe.operators import quality as Q
 from impactframe.operators import ridge as R
 from impactframe.plans import jobs as J
 from impactframe.sources.csv_files import Ingested
+from impactframe.sources.request_log import RequestLog
 from impactframe.sources.snapshots import MANIFEST, Snapshots
 from impactframe.sources.store import Store
 
@@ -124,6 +127,42 @@ def test_refresh_keeps_pinned_and_used_keys_only(spark, store):
     assert store.values("wowy_shrunk").filter(F.col("metric_cache_key") == stale.key).count() == 0
 
 
+def test_request_log_opens_few_files(spark, tmp_path):
+    log = RequestLog(spark, str(tmp_path), fanout=3)
+    assert log.counts().count() == 0
+    schema = "metric_id string, metric_cache_key string, requested_at timestamp"
+    expected = Counter()
+    for i in range(11):
+        keys = ["a", f"k{i % 4}"] + [None] * (i % 5 == 0)
+        stamp = datetime(2024, 1, 1 + i)
+        log.add(spark.createDataFrame([("wowy", k, stamp) for k in keys], schema))
+        expected.update(keys)
+        assert len(log.runs()) <= 2 * 3
+    assert log.runs() == [(0, 9), (9, 10), (10, 11)]
+    got = {r.metric_cache_key: (r.query_count, r.last_requested_at) for r in log.counts().collect()}
+    assert {k: n for k, (n, _) in got.items()} == expected
+    assert got["a"][1] == datetime(2024, 1, 11) and got["k1"][1] == datetime(2024, 1, 10)
+
+
+def test_request_log_outlives_a_fold_that_dies(spark, tmp_path):
+    log = RequestLog(spark, str(tmp_path), fanout=3)
+    rows = spark.createDataFrame([("wowy", "a", datetime(2024, 1, 1))], "metric_id string, metric_cache_key string, requested_at timestamp")
+    total = lambda: log.counts().collect()[0].query_count
+    for _ in range(2):
+        log.add(rows)
+    # Dead after writing files, before the switch: the folder has no mark and does not count.
+    (tmp_path / "runs" / "0-3").mkdir()
+    assert log.runs() == [(0, 1), (1, 2)] and total() == 2
+    # The numbers of that fold stay taken.
+    log.add(rows)
+    assert total() == 3 and log.runs() == [(0, 4)]
+    # Dead after the switch: what the fold replaces is still there and hidden.
+    log._write(log._read([(0, 4)]), (2, 3))
+    assert total() == 3 and log.runs() == [(0, 4)]
+    log.add(rows)
+    assert total() == 4 and sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["0-4", "4-5"]
+
+
 def test_rebuild_runs_all_stages_and_stops_at_failures(spark, tmp_path):
     names = dimension(spark, [1, 2], YEARS)
     # Enough games for the default minimums.

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["wowy_leaderboard", "ridge_gram", "scope_issues", "rank_average", "source_fingerprint", "payload_games"]
+NAMES = ["wowy_leaderboard", "ridge_gram", "scope_issues", "rank_average", "source_fingerprint", "payload_games", "recorded_requests"]
 
 
 def plain(frame):
