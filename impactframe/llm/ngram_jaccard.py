@@ -13,15 +13,19 @@ Texts with the same set are one class. Classes are first linked with one leader
 joins needs no further pairs among itself, so a group of thousands of near copies costs about one pair a member.
 Lists lose the entries that no other component of the list can be similar to: an overlap is at most what a set
 shares with anybody, so a passage that thousands of otherwise different texts hold gives no pairs. Only what is
-left of the lists then is joined with itself.
+left of the lists then is joined with itself. When the components are known, every link inside them is counted: the
+sets of a component meet tile by tile, so a text's number of links is of all that reach the limit, not of those that
+led to the component.
 
 Defined cases: a text of fewer words than a shingle is one shingle, a text without words (null, empty) has none and
-no links; rows with the same id are one document; a null id is one id below all others, given back as null; no
+no links; rows with the same id are one document, whatever texts they have: these are compared one by one, and all
+their components are one; a null id is one id below all others, given back as null; no
 documents give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +49,12 @@ VERIFY_COST = 50.0
 LEADER_TURNS = 2
 #: Times that lists lose the entries without a possible partner, before each use.
 PRUNE_TURNS = 2
+#: Bytes of hashes in a bucket, and in a tile of a component.
+BUCKET_BYTES = 4 << 20
+#: Sets in a tile.
+TILE_SETS = 512
+#: Shingles of a tile that are compared at once.
+TILE_COLUMNS = 4096
 #: Prefix extensions to choose from.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 NO_ID = -(2**63)
@@ -96,13 +106,14 @@ def _signatures(words: int, similarity):
             keys = np.array([_key(x) for x in sets], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
+                    block.column("key"),
                     block.column("doc_id"),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([_sent(x, similarity)[1] for x in sets], pa.int64()),
                     pa.array(keys[:, 0]),
                     pa.array(keys[:, 1]),
                 ],
-                names=["doc_id", "n", "zone", "f1", "f2"],
+                names=["key", "doc_id", "n", "zone", "f1", "f2"],
             )
 
     return run
@@ -281,19 +292,22 @@ def _entries(table: pa.Table) -> pa.Table:
 
 
 def _held(buckets: int):
-    """How many of the bucket's shingles each node shares with others, dealt by node."""
+    """How many of the bucket's shingles each node shares with others, and with how many, dealt by node."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, counts = np.unique(_repeats(table)[0], return_counts=True)
-        return send(table["bucket"][0].as_py(), nodes.view(np.uint64), buckets, {"nodes": nodes, "held": counts.astype(np.int32)})
+        owners, _, df = _repeats(table)
+        nodes, number = np.unique(owners, return_inverse=True)
+        held, holders = np.bincount(number).astype(np.int32), np.bincount(number, weights=df).astype(np.int64)
+        return send(table["bucket"][0].as_py(), nodes.view(np.uint64), buckets, {"nodes": nodes, "held": held, "holders": holders})
 
     return run
 
 
 def _add_held(table: pa.Table) -> pa.Table:
-    _, got = gather(table, nodes=np.int64, held=np.int32)
+    _, got = gather(table, nodes=np.int64, held=np.int32, holders=np.int64)
     nodes, number = np.unique(got["nodes"], return_inverse=True)
-    return pa.table({"node": nodes, "held": np.bincount(number, weights=got["held"]).astype(np.int64)})
+    sums = {k: np.bincount(number, weights=got[k]).astype(np.int64) for k in ("held", "holders")}
+    return pa.table({"node": nodes, **sums})
 
 
 def _sets(words: int):
@@ -301,7 +315,7 @@ def _sets(words: int):
         for block in tb.blocks(batches):
             sets = shingle_sets(block, words)
             packed = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), packed], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([block.column("key"), packed], names=["node", "shingles"])
 
     return run
 
@@ -345,19 +359,110 @@ def _with_partners(left: DataFrame, similarity: tuple[int, int], turns: int = PR
     return left
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every set of ``left`` shares with every one of ``right``."""
+    sets = left + right
+    hashes, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    order = np.argsort(hashes, kind="stable")
+    hashes, own = hashes[order], own[order]
+    begins = np.append(True, hashes[1:] != hashes[:-1])
+    df = np.diff(np.append(np.flatnonzero(begins), len(hashes)))
+    many = np.repeat(df, df) > 1
+    own, column = own[many], np.cumsum(begins[many]) - 1
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, columns, TILE_COLUMNS):
+        edges = np.searchsorted(column, [low, low + TILE_COLUMNS])
+        held = np.zeros((len(sets), min(TILE_COLUMNS, columns - low)), dtype=np.float32)
+        held[own[slice(*edges)], column[slice(*edges)] - low] = 1
+        both += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return both
+
+
+def _tile_links(similarity):
+    """Of some pairs of tiles: how many sets of the one tile are similar to each set of the other, or of the same."""
+    num, den = similarity
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.stack([table[k].to_numpy() for k in ("component", "first", "second")], axis=1)
+        node, tile, packed = table["node"].to_numpy(), table["tile"].to_numpy(), table["shingles"].to_pylist()
+        _, number = np.unique(keys, axis=0, return_inverse=True)
+        order = np.lexsort((node, number.ravel()))
+        nodes, counts = [], []
+        for rows in tb.segments(order, np.bincount(number.ravel())):
+            # A row of the table that came twice has its set twice.
+            rows = rows[np.append(True, node[rows[1:]] != node[rows[:-1]])]
+            sets, (_, first, second) = [np.frombuffer(packed[i], np.uint64) for i in rows.tolist()], keys[rows[0]].tolist()
+            a = np.flatnonzero(tile[rows] == first)
+            b = np.flatnonzero(tile[rows] == second)
+            if not len(a) or not len(b):
+                continue
+            both = _overlaps([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            sizes = np.array(list(map(len, sets)), dtype=np.int64)
+            linked = den * both >= num * (sizes[a][:, None] + sizes[b][None, :] - both)
+            if first == second:
+                np.fill_diagonal(linked, False)
+            else:
+                nodes.append(node[rows[b]])
+                counts.append(linked.sum(axis=0))
+            nodes.append(node[rows[a]])
+            counts.append(linked.sum(axis=1))
+        columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (nodes, counts)]
+        return pa.table(dict(zip(("node", "links"), columns, strict=True)))
+
+    return run
+
+
+def _count_links(sets: DataFrame, members: DataFrame, similarity: tuple[int, int], buckets: int) -> DataFrame:
+    """(node, n_links) for the ``members`` (node, component, n): with how many others of its component each is similar.
+
+    A component's sets are dealt to tiles of a bounded size, and every two tiles meet; small components go together.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    tiles = F.ceil(F.greatest(F.col("sets") / TILE_SETS, F.col("size") / (BUCKET_BYTES // 8)))
+    dealt = members.join(sizes.select("component", tiles.alias("tiles")), "component")
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).join(sets, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    pair = F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second")
+    dealt = dealt.select("component", *pair, "tile", "tiles", "node", "shingles")
+    together = F.pmod(F.xxhash64("component"), F.lit(buckets))
+    dealt = dealt.withColumn("bin", F.when(F.col("tiles") > 1, F.xxhash64("component", "first", "second")).otherwise(together))
+    counted = dealt.groupBy("bin").applyInArrow(_tile_links(similarity), "node long, links long")
+    return counted.groupBy("node").agg(F.sum("links").alias("n_links"))
+
+
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of different texts that have one id."""
+    kind = F.struct("f1", "f2")
+    several = signed.where("n > 0").groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low <> high")
+    several = several.select("doc_id", F.col("low.f1").alias("g1"), F.col("low.f2").alias("g2"))
+    nodes = classes.select("f1", "f2", F.col("node").alias("a"))
+    lows = classes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("node").alias("b"))
+    return signed.where("n > 0").join(several, "doc_id").join(nodes, ["f1", "f2"]).join(lows, ["g1", "g2"]).select("a", "b").distinct()
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, count_links: bool = True
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text).
 
-    ``n_links`` counts the links found between the class of the document and others on the way to the component.
+    ``n_links`` is the number of other classes that the class of the document is similar to; without ``count_links``
+    the column is left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-jaccard")
     num, den = similarity
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    signed = scratch.write(docs.mapInArrow(_signatures(words, similarity), "doc_id long, n long, zone long, f1 long, f2 long"))
-    classes = signed.where("n > 0").groupBy("f1", "f2")
-    classes = scratch.write(classes.agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("zone").alias("zone")))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Texts that share an id are told apart.
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    signed = scratch.write(docs.mapInArrow(_signatures(words, similarity), "key long, doc_id long, n long, zone long, f1 long, f2 long"))
+    classes = signed.where("n > 0").groupBy("f1", "f2").agg(
+        F.min("key").alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("zone").alias("zone")
+    )
+    classes = scratch.write(classes)
+    # Buckets of a bounded size, so that a task's memory does not follow the number of partitions.
+    shipped = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(shipped / BUCKET_BYTES))
     repeated = (
         docs.mapInArrow(_to_buckets(buckets, words, similarity), "bucket int, hashes binary, owners binary, f1 binary, f2 binary")
         .groupBy("bucket")
@@ -367,19 +472,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
     )
     lists = classes.join(repeated, ["f1", "f2"]).select("node", "n", "zone", "lists")
     prefix = scratch.write(lists.mapInArrow(_prefixes(similarity), _ENTRIES))
-    nodes = prefix.select(F.col("node").alias("doc_id")).distinct()
-    sets = scratch.write(docs.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"))
+    nodes = prefix.select(F.col("node").alias("key")).distinct()
+    sets = scratch.write(docs.join(nodes, "key", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"))
 
     def bucketed(sets: DataFrame):
         return sets.mapInArrow(_sets_to_buckets(buckets), "bucket int, hashes binary, owners binary").groupBy("bucket")
 
     # A pair's overlap is at most what either set shares with anybody: it needs (den + num) held >= num (n + m).
     room = F.col("held") * (num + den) - F.col("n") * num
-    held = bucketed(sets).applyInArrow(_held(buckets), sent_schema("nodes", "held"))
-    held = held.groupBy("bucket").applyInArrow(_add_held, "node long, held long")
+    held = bucketed(sets).applyInArrow(_held(buckets), sent_schema("nodes", "held", "holders"))
+    held = held.groupBy("bucket").applyInArrow(_add_held, "node long, held long, holders long")
     roomy = prefix.join(held, "node").withColumn("room", room).where(F.col("room") > 0)
     roomy = _with_partners(roomy.withColumn("component", F.col("node")), similarity, places=False)
-    nodes = scratch.write(roomy.select("node", "n", "held", "room").distinct())
+    nodes = scratch.write(roomy.select("node", "n", "held", "holders", "room").distinct())
     sets = scratch.write(sets.join(nodes.select("node"), "node", "left_semi"))
     # What is left gets its prefixes in the order of whole sets, by counts among what is left.
     repeated = (
@@ -390,7 +495,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
     )
     lists = nodes.join(repeated, "node").select("node", "n", F.col("n").alias("zone"), "lists")
     prefix = lists.mapInArrow(_prefixes(similarity, whole=True), _ENTRIES)
-    prefix = scratch.write(prefix.join(nodes.select("node", "held", "room"), "node"))
+    prefix = scratch.write(prefix.join(nodes.select("node", "held", "holders", "room"), "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -399,8 +504,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
     links, left = None, prefix.withColumn("component", F.col("node"))
     for turn in range(LEADER_TURNS):
         left = scratch.write(_with_partners(left, similarity))
-        # First the set with the least of its own, which the others may derive from; then any.
-        order = F.col("n") - F.col("held") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        # First the set with the least of its own, of these the one that shares most with others: they may derive from
+        # it; then any.
+        order = F.struct(F.col("n") - F.col("held"), -F.col("holders")) if turn == 0 else F.xxhash64("node", F.lit(turn))
         leader = F.struct(order.alias("order"), F.col("node").alias("b"), *(F.col(k).alias(f"{k}_b") for k in ("n", "room", "component")))
         leaders = left.groupBy("shingle").agg(F.min(leader).alias("leader")).select("shingle", "leader.*")
         led = (
@@ -431,18 +537,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: tuple[in
         .where("c >= least")
     )
     links = scratch.write(links.union(verified(pairs.select("a", "b"))).distinct())
-    found = components(links, scratch)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = classes.join(found, "node", "left").join(ends, "node", "left")
-    found = found.select("f1", "f2", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = signed.join(found, ["f1", "f2"], "left")
-    known = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select(
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    found = scratch.write(components(links.union(_same_ids(signed, classes)), scratch))
+    lowest = classes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = found.join(lowest, "component").select("node", "component_id")
+    placed = classes.withColumnRenamed("doc_id", "own").join(placed, "node", "left")
+    kept = ["f1", "f2", F.coalesce("component_id", "own").alias("component_id")]
+    if count_links:
+        # Whoever is similar to anybody has a link by now.
+        members = nodes.select("node", "n").join(found, "node").join(linked, "node", "left_semi")
+        counts = scratch.write(_count_links(sets, members, similarity, buckets))
+        placed = placed.join(counts, "node", "left")
+        kept.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = signed.join(placed.select(kept), ["f1", "f2"], "left")
+    known = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    columns = [
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.nullif(known, F.lit(NO_ID)).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    ]
+    return rows.select(*columns, *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []))
 
 
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

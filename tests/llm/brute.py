@@ -104,6 +104,18 @@ def components(docs):
     return [(d, len(sets[d]), root(d)) for d, _ in docs]
 
 
+def link_counts(docs):
+    """(doc_id, number of other distinct sets that its set is linked with)."""
+    sets = {}
+    for doc, text in docs:
+        w = words(text)
+        sets[doc] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    kinds = set(sets.values())
+    near = lambda x, y: x != y and len(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    counts = {x: sum(bool(near(x, y)) for y in kinds) for x in kinds}
+    return [(d, counts[sets[d]]) for d, _ in docs]
+
+
 def crc(ids):
     import numpy as np
 

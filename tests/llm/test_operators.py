@@ -281,6 +281,43 @@ def test_jaccard_near_the_limit(spark):
     assert rows(ngram_jaccard.jaccard_components(frame), "doc_id", "n_shingles", "component_id") == sorted(brute.components(table))
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    """Near copies of one text are nearly all similar to each other, also where a leader has joined them already, and
+    where they take several tiles; copies of one set are one class."""
+    rng = random.Random(11)
+    table = []
+    for family in range(3):
+        core = [f"w{family}-{i}" for i in range(130)]
+        for _ in range(20):
+            text = list(core)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+            table.append((len(table), " ".join(text)))
+    table += [(1000, table[3][1]), (1001, "one two three"), (1002, None)]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    expected = sorted(brute.link_counts(table))
+    assert sum(n for _, n in expected) > 3 * 20 * 10
+    assert rows(ngram_jaccard.jaccard_components(frame), "doc_id", "n_links") == expected
+    monkeypatch.setattr(ngram_jaccard, "TILE_SETS", 4)
+    monkeypatch.setattr(ngram_jaccard, "TILE_COLUMNS", 7)
+    assert rows(ngram_jaccard.jaccard_components(frame), "doc_id", "n_links") == expected
+    assert ngram_jaccard.jaccard_components(frame, count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_jaccard_texts_that_share_an_id(spark):
+    """Each text of an id is compared as it is; then all that they link to is one component."""
+    word = lambda k: " ".join(f"{k}-{i}" for i in range(40))
+    near = lambda k: word(k) + f" end-{k}"
+    table = [(9, word("a")), (9, word("b")), (None, word("c")), (None, word("d")), (3, near("a")), (4, near("b")), (5, near("c"))]
+    table += [(6, near("d")), (7, word("e")), (8, near("e")), (12, word("f"))]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.n_links) for r in ngram_jaccard.jaccard_components(frame).collect()}
+    assert got == {
+        (9, 36): (3, 1), (3, 37): (3, 1), (4, 37): (3, 1), (None, 36): (None, 1), (5, 37): (None, 1), (6, 37): (None, 1),
+        (7, 36): (7, 1), (8, 37): (7, 1), (12, 36): (12, 0),
+    }
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     kinds = {"en": "the and of ing tion her".split(), "de": "sch ein und ung lich cht".split(), "fr": "eau que ment les oux tre".split()}
