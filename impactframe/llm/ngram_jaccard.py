@@ -292,22 +292,19 @@ def _entries(table: pa.Table) -> pa.Table:
 
 
 def _held(buckets: int):
-    """How many of the bucket's shingles each node shares with others, and with how many, dealt by node."""
+    """How many of the bucket's shingles each node shares with others, dealt by node."""
 
     def run(table: pa.Table) -> pa.Table:
-        owners, _, df = _repeats(table)
-        nodes, number = np.unique(owners, return_inverse=True)
-        held, holders = np.bincount(number).astype(np.int32), np.bincount(number, weights=df).astype(np.int64)
-        return send(table["bucket"][0].as_py(), nodes.view(np.uint64), buckets, {"nodes": nodes, "held": held, "holders": holders})
+        nodes, counts = np.unique(_repeats(table)[0], return_counts=True)
+        return send(table["bucket"][0].as_py(), nodes.view(np.uint64), buckets, {"nodes": nodes, "held": counts.astype(np.int32)})
 
     return run
 
 
 def _add_held(table: pa.Table) -> pa.Table:
-    _, got = gather(table, nodes=np.int64, held=np.int32, holders=np.int64)
+    _, got = gather(table, nodes=np.int64, held=np.int32)
     nodes, number = np.unique(got["nodes"], return_inverse=True)
-    sums = {k: np.bincount(number, weights=got[k]).astype(np.int64) for k in ("held", "holders")}
-    return pa.table({"node": nodes, **sums})
+    return pa.table({"node": nodes, "held": np.bincount(number, weights=got["held"]).astype(np.int64)})
 
 
 def _sets(words: int):
@@ -480,11 +477,12 @@ def jaccard_components(
 
     # A pair's overlap is at most what either set shares with anybody: it needs (den + num) held >= num (n + m).
     room = F.col("held") * (num + den) - F.col("n") * num
-    held = bucketed(sets).applyInArrow(_held(buckets), sent_schema("nodes", "held", "holders"))
-    held = held.groupBy("bucket").applyInArrow(_add_held, "node long, held long, holders long")
+    held = bucketed(sets).applyInArrow(_held(buckets), sent_schema("nodes", "held"))
+    held = held.groupBy("bucket").applyInArrow(_add_held, "node long, held long")
     roomy = prefix.join(held, "node").withColumn("room", room).where(F.col("room") > 0)
     roomy = _with_partners(roomy.withColumn("component", F.col("node")), similarity, places=False)
-    nodes = scratch.write(roomy.select("node", "n", "held", "holders", "room").distinct())
+    nodes = roomy.select("node", "n", "held", "room").distinct()
+    nodes = scratch.write(nodes.join(classes.select("node", F.col("doc_id").alias("lowest")), "node"))
     sets = scratch.write(sets.join(nodes.select("node"), "node", "left_semi"))
     # What is left gets its prefixes in the order of whole sets, by counts among what is left.
     repeated = (
@@ -495,7 +493,7 @@ def jaccard_components(
     )
     lists = nodes.join(repeated, "node").select("node", "n", F.col("n").alias("zone"), "lists")
     prefix = lists.mapInArrow(_prefixes(similarity, whole=True), _ENTRIES)
-    prefix = scratch.write(prefix.join(nodes.select("node", "held", "holders", "room"), "node"))
+    prefix = scratch.write(prefix.join(nodes.select("node", "held", "lowest", "room"), "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")) for k in "ab")
@@ -504,9 +502,8 @@ def jaccard_components(
     links, left = None, prefix.withColumn("component", F.col("node"))
     for turn in range(LEADER_TURNS):
         left = scratch.write(_with_partners(left, similarity))
-        # First the set with the least of its own, of these the one that shares most with others: they may derive from
-        # it; then any.
-        order = F.struct(F.col("n") - F.col("held"), -F.col("holders")) if turn == 0 else F.xxhash64("node", F.lit(turn))
+        # First the set with the least of its own, which the others may derive from, ties by id; then any.
+        order = F.struct(F.col("n") - F.col("held"), "lowest") if turn == 0 else F.xxhash64("node", F.lit(turn))
         leader = F.struct(order.alias("order"), F.col("node").alias("b"), *(F.col(k).alias(f"{k}_b") for k in ("n", "room", "component")))
         leaders = left.groupBy("shingle").agg(F.min(leader).alias("leader")).select("shingle", "leader.*")
         led = (
