@@ -329,15 +329,22 @@ def _need(both, similarity):
     return F.ceil(both * num / (num + den))
 
 
-def _with_partners(left: DataFrame, similarity: tuple[int, int], turns: int = PRUNE_TURNS, places: bool = True) -> DataFrame:
+def _with_partners(
+    left: DataFrame, similarity: tuple[int, int], scratch: Scratch, turns: int = PRUNE_TURNS, places: bool = True
+) -> DataFrame:
     """The list entries for which another component has an entry of the list that is small enough and roomy enough,
     and that are (``places``) within the prefix that the smallest such set asks for.
 
     Per list, the smallest size and the largest room are kept for the two best components, so every entry can look
     past its own component.
+
+    ``left`` is a written table. A turn reads its lists three times, so they are written between turns as well: the
+    plan of a turn within the next one's would be three times as large with every turn, on the driver too.
     """
     num = similarity[0]
-    for _ in range(turns):
+    for turn in range(turns):
+        if turn:
+            left = scratch.write(left)
         by = left.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("room").alias("room"))
         best = by.groupBy("shingle").agg(
             F.min(F.struct("n", "component")).alias("small"), F.max(F.struct("room", "component")).alias("roomy")
@@ -479,8 +486,9 @@ def jaccard_components(
     room = F.col("held") * (num + den) - F.col("n") * num
     held = bucketed(sets).applyInArrow(_held(buckets), sent_schema("nodes", "held"))
     held = held.groupBy("bucket").applyInArrow(_add_held, "node long, held long")
-    roomy = prefix.join(held, "node").withColumn("room", room).where(F.col("room") > 0)
-    roomy = _with_partners(roomy.withColumn("component", F.col("node")), similarity, places=False)
+    roomy = prefix.select("shingle", "node", "n").join(held, "node").withColumn("room", room).where(F.col("room") > 0)
+    roomy = scratch.write(roomy).withColumn("component", F.col("node"))
+    roomy = _with_partners(roomy, similarity, scratch, places=False)
     nodes = roomy.select("node", "n", "held", "room").distinct()
     nodes = scratch.write(nodes.join(classes.select("node", F.col("doc_id").alias("lowest")), "node"))
     sets = scratch.write(sets.join(nodes.select("node"), "node", "left_semi"))
@@ -501,7 +509,7 @@ def jaccard_components(
 
     links, left = None, prefix.withColumn("component", F.col("node"))
     for turn in range(LEADER_TURNS):
-        left = scratch.write(_with_partners(left, similarity))
+        left = scratch.write(_with_partners(left, similarity, scratch))
         # First the set with the least of its own, which the others may derive from, ties by id; then any.
         order = F.struct(F.col("n") - F.col("held"), "lowest") if turn == 0 else F.xxhash64("node", F.lit(turn))
         leader = F.struct(order.alias("order"), F.col("node").alias("b"), *(F.col(k).alias(f"{k}_b") for k in ("n", "room", "component")))
@@ -517,7 +525,8 @@ def jaccard_components(
         links = fresh if links is None else scratch.write(links.union(fresh))
         joined = components(links, scratch)
         left = left.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = scratch.write(_with_partners(left, similarity))
+        left = scratch.write(left)
+    left = scratch.write(_with_partners(left, similarity, scratch))
     carried = ("n", "room", "component", "matches", "place")
     a, b = (
         left.select("shingle", F.col("node").alias(k), *(F.col(c).alias(c + end) for c in carried))

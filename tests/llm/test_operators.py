@@ -304,6 +304,23 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     assert ngram_jaccard.jaccard_components(frame, count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
 
 
+def test_jaccard_plans_stay_small(spark, monkeypatch):
+    """No plan holds the plans of the turns before it: the driver keeps plans, and their code, in its memory."""
+    plans = []
+
+    def write(scratch, df, *partitions, known=Scratch.write):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return known(scratch, df, *partitions)
+
+    monkeypatch.setattr(Scratch, "write", write)
+    word = lambda k: " ".join(f"{k}-{i}" for i in range(40))
+    table = [(1, word("a")), (2, word("a") + " end"), (3, word("b")), (4, "start " + word("b")), (5, word("c"))]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    got = rows(ngram_jaccard.jaccard_components(frame), "doc_id", "component_id", "n_links")
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)]
+    assert max(plan.count("Join ") for plan in plans) <= 8
+
+
 def test_jaccard_texts_that_share_an_id(spark):
     """Each text of an id is compared as it is; then all that they link to is one component."""
     word = lambda k: " ".join(f"{k}-{i}" for i in range(40))
