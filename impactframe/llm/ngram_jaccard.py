@@ -49,6 +49,8 @@ VERIFY_COST = 50.0
 LEADER_TURNS = 2
 #: Times that lists lose the entries without a possible partner, before each use.
 PRUNE_TURNS = 2
+#: Matches that the last join asks of a pair at most: what leaders left makes fewer rows in short prefixes.
+LAST_MATCHES = 2
 #: Bytes of hashes in a bucket, and in a tile of a component.
 BUCKET_BYTES = 4 << 20
 #: Sets in a tile.
@@ -533,7 +535,7 @@ def jaccard_components(
         for k, end in (("a", ""), ("b", "_b"))
     )
     # For this very pair the overlap has to be ``need``, so prefixes of n - need + least share ``least``.
-    need, least = _need(F.col("n") + F.col("n_b"), similarity), F.least("matches", "matches_b")
+    need, least = _need(F.col("n") + F.col("n_b"), similarity), F.least("matches", "matches_b", F.lit(LAST_MATCHES))
     pairs = (
         a.join(b, "shingle")
         .where(_may_link(num) & (F.col("a") < F.col("b")))
