@@ -33,6 +33,8 @@ SAMPLE = 6000
 BUCKETS = 2048
 BITS = 12
 EPOCHS = 12
+#: Texts whose features are worked out at once: these have a fixed size for every text, however short.
+FEATURE_ROWS = 256
 #: A text is ambiguous if the loss per bit of the second language is less than this above that of the first.
 MARGIN = 0.02
 UNDETERMINED = "und"
@@ -138,7 +140,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int
     chosen = labelled.where(hashed_share("doc_id", 9) < share[F.col("lang")]).select("lang", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches):
+        for block in tb.blocks(batches, max_rows=FEATURE_ROWS):
             x = features(block).astype(np.float16)
             packed = tb.binary_lists(x.ravel(), np.full(len(block), x.shape[1]))
             yield pa.RecordBatch.from_arrays([block.column("lang"), packed], names=["lang", "row"])
@@ -162,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, margin: float = MARGIN) -> Dat
     """All columns of ``docs`` (text, ...) with _lang_pred, _score and _ambiguous."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches):
+        for block in tb.blocks(batches, max_rows=FEATURE_ROWS):
             n = len(block)
             usable = _has_letter(block) & (model is not None)
             if model is None:

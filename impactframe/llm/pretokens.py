@@ -21,12 +21,11 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 def _classes() -> np.ndarray:
     """The class of every code point."""
     table = np.zeros(0x110000, dtype=np.uint8)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    at = np.array(points)
-    text = "".join(map(chr, points))
+    # A string for each code point would take more than 100 MB in every worker; surrogates are of no class.
+    text = np.arange(len(table), dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, text):
-            table[at[m.start() : m.end()]] = kind
+            table[m.start() : m.end()] = kind
     return table
 
 

@@ -137,8 +137,10 @@ class Block:
         return np.bincount(owners, minlength=len(self))
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut batches into blocks; a null text has no bytes."""
+def blocks(
+    batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = BLOCK_BYTES, max_rows: int | None = None
+) -> Iterator[Block]:
+    """Cut batches into blocks, of ``max_rows`` texts at most if given; a null text has no bytes."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -150,7 +152,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
         at = 0
         while at < len(texts):
             end = int(np.searchsorted(bounds, bounds[at] + max_bytes, side="right")) - 1
-            end = min(max(end, at + 1), len(texts))
+            end = min(max(end, at + 1), at + (max_rows or len(texts)), len(texts))
             low, high = int(bounds[at]), int(bounds[end])
             yield Block(batch.slice(at, end - at), content[low:high], bounds[at : end + 1] - low)
             at = end

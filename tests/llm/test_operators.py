@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from impactframe.llm import byte_bpe, codeword_language, decontaminate, katz_model, line_runs, ngram_jaccard
@@ -366,6 +368,28 @@ def test_language_id(spark, docs, no_docs):
     assert {r._lang_pred for r in codeword_language.predict(table, single).collect()} == {"de"}
 
 
+def test_language_memory_of_short_texts(spark):
+    """Features have a fixed size, so many short texts in one batch must not be worked out together."""
+
+    class Captured:
+        schema = T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, _):
+            return run
+
+    model = codeword_language.learned(labelled(spark))
+    batch = pa.record_batch({"text": pa.array([None, "", *(f"a short text {i}" for i in range(5000))])})
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(codeword_language.predict(Captured(), model)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got["text"].to_pylist() == batch["text"].to_pylist()
+    assert got["_lang_pred"].to_pylist()[:2] == ["und", "und"] and set(got["_lang_pred"].to_pylist()[2:]) <= {"en", "de", "fr"}
+    assert peak < 40 << 20
+
+
 def test_quality_classifier(spark, docs, no_docs):
     rng = random.Random(2)
     table, labels = [], []

@@ -1,5 +1,7 @@
 """The whole pipeline against its stages done plainly, one after the other."""
 
+import re
+
 import brute
 import public_tokenizers
 import pytest
@@ -56,3 +58,12 @@ def test_stages_keep_the_columns_and_bear_no_rows(spark, folder):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 0
+
+
+def test_tasks_hold_one_python_worker(spark, folder):
+    """Python steps of one plan without an exchange between them run in workers of their own at the same time."""
+    python = r"(MapInArrow|FlatMap\w*InArrow)"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, folder)._jdf.queryExecution().sparkPlan()
+        assert len(re.findall(python, plan.toString())) <= 1, name
