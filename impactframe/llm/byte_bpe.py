@@ -33,7 +33,7 @@ from impactframe.llm.tables import Scratch, read
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 8 << 20
-#: Tokens that are decoded at once, about.
+#: Tokens that are decoded, and words that are put together, at once, about.
 DECODE_TOKENS = 1 << 18
 
 _WORDS = "chunk binary, bucket int, words binary, sizes binary"
@@ -55,8 +55,7 @@ def _pack_numbers(numbers: np.ndarray) -> bytes:
 
 
 def _unpack_numbers(payload: bytes) -> np.ndarray:
-    planes = _unpack(payload, np.uint8).reshape(4, -1).astype(np.int32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    return np.ascontiguousarray(_unpack(payload, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def gather_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -190,17 +189,25 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     ids = np.concatenate([np.empty(0, np.int32), *(_unpack(r["ids"], np.int32) for r in rows)])
     counts = np.concatenate([np.empty(0, np.int64), *(_unpack(r["counts"], np.int32) for r in rows)])
     starts = np.cumsum(counts) - counts
-    out = []
+    out, done = [], 0
     for text in texts.to_pylist():
         places = _unpack_numbers(text["places"])
         if len(places) != len(counts):
             break
-        numbers = places[_unpack_numbers(text["numbers"])]
-        tokens = gather_spans(ids, starts[numbers], counts[numbers])
-        ends = np.cumsum(np.append(0, counts[numbers]))[np.cumsum(np.append(0, _unpack(text["sizes"], np.int64)))]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens, pa.int32()))
-        out.append(pa.table({"doc_id": pa.array(text["doc_ids"], pa.int64()), "ids": lists}))
-    if not out or len(out) < texts.num_rows:
+        numbers, doc_ids = _unpack_numbers(text["numbers"]), text["doc_ids"]
+        edges = np.cumsum(np.append(0, _unpack(text["sizes"], np.int64)))
+        at = 0
+        # Some texts at a time: beside the ids themselves a position takes fifty bytes until it has its ids.
+        while at < len(doc_ids):
+            end = max(at + 1, int(np.searchsorted(edges, edges[at] + DECODE_TOKENS, side="right")) - 1)
+            own = places[numbers[edges[at] : edges[end]]]
+            tokens = gather_spans(ids, starts[own], counts[own])
+            ends = np.cumsum(np.append(0, counts[own]))[edges[at : end + 1] - edges[at]]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens, pa.int32()))
+            out.append(pa.table({"doc_id": pa.array(doc_ids[at:end], pa.int64()), "ids": lists}))
+            at = end
+        done += 1
+    if not done or done < texts.num_rows:
         raise RuntimeError("the documents changed between two reads; encode them with reread=False")
     return pa.concat_tables(out)
 

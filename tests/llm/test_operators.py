@@ -368,6 +368,30 @@ def test_language_id(spark, docs, no_docs):
     assert {r._lang_pred for r in codeword_language.predict(table, single).collect()} == {"de"}
 
 
+def test_byte_bpe_memory_of_a_chunk():
+    """A chunk's texts are put together some at a time, not with several numbers for every word of the chunk."""
+
+    class Vocabulary:
+        value = open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb").read()
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("an er on re at en".split(), k=2)) for _ in range(300)]
+    made = [None, "", *(" ".join(rng.choices(words, k=2000)) for _ in range(600)), ""]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(made)), pa.int64()), "text": pa.array(made)})
+    asked, texts = (pa.Table.from_batches(byte_bpe._chunks(4, 64 << 20, k)(iter([batch]))) for k in ("word_rows", "text_rows"))
+    found = byte_bpe._encode_bucket(Vocabulary)(asked)
+    tracemalloc.start()
+    try:
+        got = byte_bpe._reassemble(texts, found)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    encoder = byte_bpe._encoder(Vocabulary.value)
+    assert got["doc_id"].to_pylist() == list(range(len(made)))
+    assert got["ids"].to_pylist() == [encoder.encode_ordinary(t or "") for t in made]
+    assert peak < 30 << 20
+
+
 def test_language_memory_of_short_texts(spark):
     """Features have a fixed size, so many short texts in one batch must not be worked out together."""
 
