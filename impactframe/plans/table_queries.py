@@ -13,7 +13,7 @@ from impactframe.plans.margin_queries import rounded, tables
 from impactframe.plans.quality_queries import DIMENSION, LOADS, dimension, nation_spans, short_name
 from impactframe.plans.reference_sql import over
 from impactframe.sources import csv_files
-from impactframe.sources.sample_tables import loads_view, read_table
+from impactframe.sources.sample_tables import games_with_players, loads_view, read_table
 
 
 def _loads(spark, folder) -> DataFrame:
@@ -281,7 +281,7 @@ def oldest_game(spark, folder):
 
 def _raw_columns(spark, folder):
     """The sample tables as a source would write them: text, with repeats, skipped types and unknown teams."""
-    games, players = tables(spark, folder)
+    games, players, ids = games_with_players(spark, folder)
     number_ = F.col("game_id").cast("bigint")
     home = games.filter("is_home")
     kind = F.when(number_ % 17 == 0, "All-Star Game").when(number_ % 19 == 0, "NBA Cup").otherwise("Regular Season")
@@ -295,10 +295,12 @@ def _raw_columns(spark, folder):
         (F.lit(100) - F.least("margin", F.lit(0.0))).cast("int").cast("string").alias("awayScore"),
     )
     # Every 29th game is written twice, every 31st with another score the second time.
-    again = raw_games.filter(F.col("gameId").cast("bigint") % 29 == 0)
-    other = raw_games.filter(F.col("gameId").cast("bigint") % 31 == 0).withColumn("homeScore", F.lit("7"))
-    sides = games.select("game_id", "team_id", "is_home")
-    raw_players = players.join(sides, ["game_id", "team_id"]).select(
+    once, other = (F.struct(*[F.lit("7").alias(c) if c == score else F.col(c) for c in raw_games.columns]) for score in ("", "homeScore"))
+    written = F.col("gameId").cast("bigint")
+    raw_games = raw_games.select(
+        F.inline(F.array_compact(F.array(once, F.when(written % 29 == 0, once), F.when(written % 31 == 0, other))))
+    )
+    raw_players = players.select(
         F.col("game_id").alias("gameId"),
         F.col("is_home").cast("int").cast("string").alias("home"),
         F.col("player_id").cast("string").alias("personId"),
@@ -308,13 +310,13 @@ def _raw_columns(spark, folder):
         F.when(F.col("appeared"), F.lit("2")).otherwise(F.lit("0.0")).alias("points"),
     )
     raw_players = raw_players.withColumn("firstName", F.when(F.col("lastName") == "", F.lit(" ")).otherwise(F.col("firstName")))
-    raw_names = players.select(
+    raw_names = ids.select(
         F.col("player_id").cast("string").alias("personId"),
         F.lit("Listed").alias("firstName"),
         F.when(F.col("player_id") % 27 == 0, F.lit("")).otherwise(F.col("player_id").cast("string")).alias("lastName"),
     ).distinct()
     raw_names = raw_names.withColumn("firstName", F.when(F.col("lastName") == "", F.lit("")).otherwise(F.col("firstName")))
-    return raw_games.unionByName(again).unionByName(other), raw_players, raw_names
+    return raw_games, raw_players, raw_names
 
 
 def _ingested(spark, folder):

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from impactframe.functions.seasons import season_text, start_year_of_date, type_code, type_text
@@ -75,9 +76,11 @@ def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
 
 def distinct_games(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row per game id, conflicting rows). Identical repeats collapse; no one of differing ones is right."""
-    rows = raw.distinct()
-    conflicts = rows.groupBy("gameId").agg(F.count("*").alias("_variants")).filter("_variants > 1").select("gameId")
-    return rows.join(conflicts, "gameId", "left_anti"), rows.join(conflicts, "gameId", "left_semi")
+    # Rows dealt by their id are made distinct and counted where they are. Rows without an id do not conflict.
+    known = raw.filter(F.col("gameId").isNotNull()).repartition("gameId").distinct()
+    counted = keep(known.withColumn("_variants", F.count("*").over(W.partitionBy("gameId"))))
+    settled = counted.filter("_variants = 1").drop("_variants").unionByName(raw.filter(F.col("gameId").isNull()).distinct())
+    return settled, counted.filter("_variants > 1").drop("_variants")
 
 
 def player_dictionary(raw: DataFrame) -> DataFrame:
@@ -208,16 +211,19 @@ def prepared_players(raw: DataFrame, prepared: DataFrame, names: DataFrame) -> D
         (F.col("player_name").isNull(), "blank player name"),
         (F.col("unreadable"), "unreadable minutes or statistics"),
     )
+    # The games come last, so that the rows of a team-game stay together and are counted before they are sent.
     return (
-        typed.join(games, "game_id")
-        .join(names, "player_id", "left")
+        typed.join(names, "player_id", "left")
+        .withColumn("player_name", F.coalesce("own_name", "dictionary_name"))
+        .drop("own_name", "dictionary_name")
+        .join(games, "game_id")
         .select(
             "game_id",
             "season",
             "season_type",
             F.when(F.col("home_flag") == "1", F.col("home_team")).when(F.col("home_flag") == "0", F.col("away_team")).alias("team_id"),
             "player_id",
-            F.coalesce("own_name", "dictionary_name").alias("player_name"),
+            "player_name",
             "appeared",
             "minutes",
             "home_flag",
